@@ -1,11 +1,371 @@
-"""Every query of the engine by name, with the SQL that states the same result."""
+"""Every query of the engine by name, with the SQL that states the same result.
+
+All run over whole tables.  Where SQL cannot state a result (fitted models,
+folds with a reset, draws from hashes) the query has none; tests compare it with
+brute force instead.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quern.functions import hangul, vectors
+from quern.functions import text as X
+from quern.operators import benchmark, distill, encoder, fusion, graph, index, keyword, lexicon, metrics, related
+from quern.plans import oracle
+from quern.sources import articles as A
+from quern.streaming import changes
+
+HOST = "read.example"
+FIELDS = ["id", "title", "content", "category", "preview"]
+
+
+def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{table}.parquet")
+
+
+def _articles(spark, d):
+    return A.one_per_id(_read(spark, d, "articles"))
+
+
+def _meta(spark, d):
+    return A.doc_meta(_articles(spark, d))
+
+
+def _terms(spark, d):
+    kept = _read(spark, d, "articles").groupBy("id").agg(F.min("row_id").alias("row_id"))
+    return A.clean_terms(_read(spark, d, "doc_terms")).join(kept.select("row_id"), "row_id", "left_semi")
+
+
+def _queries(spark):
+    return spark.createDataFrame(oracle.QUERIES, "query_id long, text string")
+
+
+def _embeddings(spark, d):
+    return _read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+
+
+def _asked(e):
+    return e.where(F.col("id") % 50 == 0)
+
+
+def literal_title_search(spark, d):
+    return keyword.literal_hits(_queries(spark), _meta(spark, d))
+
+
+def keyword_search_substring(spark, d):
+    return keyword.substring_search(_queries(spark), _meta(spark, d)).select("query_id", "row_id", F.round("score", 6).alias("score"), "rank")
+
+
+def keyword_search_terms(spark, d):
+    return keyword.keyword_search(_queries(spark), _meta(spark, d), _terms(spark, d)).select("query_id", "row_id", F.round("score", 6).alias("score"), "rank")
+
+
+def search_exact(spark, d):
+    return fusion.search(_queries(spark), _meta(spark, d), _terms(spark, d), exact_mode=True).select("query_id", "row_id", "score", "source", "tier", "rank")
+
+
+def query_interpretations(spark, d):
+    return keyword.interpretations(_queries(spark)).select("query_id", "interp", F.array_join("terms", " ").alias("terms"))
+
+
+def spelling_correction(spark, d):
+    return keyword.correct(_queries(spark), _meta(spark, d), keyword.vocabulary(_terms(spark, d)))
+
+
+def tag_counts(spark, d):
+    return keyword.tag_counts(_meta(spark, d))
+
+
+def tag_index(spark, d):
+    return keyword.tag_index(_meta(spark, d)).select("name", "count", F.array_join("ids", ",").alias("ids"))
+
+
+def tag_match(spark, d):
+    return keyword.match_tags(_queries(spark), keyword.tag_counts(_meta(spark, d)))
+
+
+def doc_meta(spark, d):
+    m = _meta(spark, d)
+    return m.withColumn("tags", F.array_join(F.transform("tags", lambda t: F.coalesce(t, F.lit("-"))), "|")).withColumn("authors", F.array_join(F.transform("authors", lambda a: F.concat_ws("/", a["name"], a["role"])), "|"))
+
+
+def clean_markdown(spark, d):
+    return _read(spark, d, "articles").select("row_id", X.clean_markdown(F.col("content")).alias("text"))
+
+
+def strip_html_body(spark, d):
+    return _read(spark, d, "articles").select("row_id", X.body_text(F.coalesce("content", F.lit(""))).alias("text"))
+
+
+def clean_titles(spark, d):
+    return _read(spark, d, "articles").select("row_id", X.clean_title(F.col("title")).alias("text"))
+
+
+def title_keywords(spark, d):
+    return _read(spark, d, "articles").select("row_id", F.array_join(X.title_keywords(F.col("title")), " ").alias("words"))
+
+
+def content_segments(spark, d):
+    return _read(spark, d, "articles").select("row_id", F.explode(X.segments(X.body_text(F.col("content")))).alias("segment"))
+
+
+def chunk_documents(spark, d):
+    return index.chunks(_read(spark, d, "articles"), "row_id", "content")
+
+
+def passages(spark, d):
+    a = _articles(spark, d)
+    return index.passages(a, index.chunks(a, "id", "content"), "id", "title", "passage: ")
+
+
+def vocab_df_idf(spark, d):
+    a = _articles(spark, d).select("id", F.concat_ws(" ", "title", "content").alias("text"))
+    return index.document_frequency(a, "id", "text").withColumn("idf", F.round("idf", 6))
+
+
+def bigram_vocab(spark, d):
+    return keyword.vocabulary(_terms(spark, d)).select("word", F.col("place.k").alias("k"), F.col("place.row_id").alias("row_id"), F.col("place.at").alias("at"))
+
+
+def student_tokens(spark, d):
+    return _articles(spark, d).select("row_id", F.posexplode(X.student_tokens(F.col("title"))).alias("at", "x")).select("row_id", "at", F.col("x.t").alias("t"), F.col("x.kind").alias("kind"))
+
+
+def near_dup_jaccard(spark, d):
+    tokens = lambda df, key, text: df.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), X.words(F.col(text)).alias("tokens"))
+    return distill.near_duplicates(tokens(_read(spark, d, "articles"), "row_id", "title"), tokens(_read(spark, d, "documents"), "doc_id", "title"), 0.3).withColumn("jaccard", F.round("jaccard", 6))
+
+
+def quantize_int8(spark, d):
+    e = _embeddings(spark, d).withColumn("s", vectors.scale_of(F.col("embedding")))
+    return e.select("id", F.round("s", 8).alias("scale"), F.posexplode(vectors.quantize(F.col("embedding"), F.col("s"))).alias("at", "q"))
+
+
+def dequantize_error(spark, d):
+    e = _embeddings(spark, d).withColumn("scale", vectors.scale_of(F.col("embedding")))
+    back = vectors.dequantize(vectors.quantize(F.col("embedding"), F.col("scale")), F.col("scale"))
+    return e.select("id", F.round(F.array_max(F.zip_with("embedding", back, lambda x, y: F.abs(x - y))), 4).alias("most"))
+
+
+def cosine_topk(spark, d):
+    e = _embeddings(spark, d)
+    return graph.block_top_k(_asked(e), e, "id", "embedding", 10, exclude_self=True).withColumn("score", F.round("score", 4))
+
+
+def knn_edges(spark, d):
+    return graph.knn_edges(graph.self_top_k(_embeddings(spark, d), "id", "embedding", 10), 0.3).withColumn("weight", F.round("weight", 3))
+
+
+def centroid_pool(spark, d):
+    return vectors.mean_pool(_embeddings(spark, d), "label", "embedding").select("label", F.posexplode("embedding").alias("at", "x")).withColumn("x", F.round("x", 5))
+
+
+def _graph(spark, d):
+    a = _articles(spark, d)
+    nodes, edges = graph.attribute_edges(a)
+    return nodes, edges.unionByName(graph.link_edges(graph.link_targets(a, HOST)))
+
+
+def attribute_edges(spark, d):
+    return _graph(spark, d)[1]
+
+
+def graph_nodes(spark, d):
+    return _graph(spark, d)[0]
+
+
+def link_targets(spark, d):
+    return graph.link_targets(_articles(spark, d), HOST).groupBy("resolved").agg(F.count("*").alias("n"))
+
+
+def edge_merge(spark, d):
+    return graph.adjacency(_graph(spark, d)[1])
+
+
+def degree(spark, d):
+    return graph.degrees(_graph(spark, d)[1])
+
+
+def graph_counts(spark, d):
+    return graph.counts(*_graph(spark, d))
+
+
+def drawing_edges(spark, d):
+    return graph.drawing_edges(_graph(spark, d)[1])
+
+
+def neighbours_by_type(spark, d):
+    nodes, edges = _graph(spark, d)
+    return graph.neighbours_by_type(edges, nodes).withColumn("neighbours", F.array_join("neighbours", ","))
+
+
+def find_nodes(spark, d):
+    return graph.find_nodes(_graph(spark, d)[0], "환율", ["tag", "article"])
+
+
+def beam_bfs(spark, d):
+    e = _embeddings(spark, d)
+    edges = graph.knn_edges(graph.self_top_k(e, "id", "embedding", 10), 0.2)
+    return graph.beam_search(_asked(e), graph.adjacency(edges), e.select("id", F.col("embedding").alias("vector")), beam=16).withColumn("score", F.round("score", 4))
+
+
+def related_articles(spark, d):
+    return related.related(beam_bfs(spark, d))
+
+
+def fuse_rank(spark, d):
+    e = _embeddings(spark, d).withColumn("half", F.slice("embedding", 1, 32))
+    asked = _asked(e)
+    one = lambda v: graph.block_top_k(asked, e, "id", v, 20, exclude_self=True).select(F.col("query").alias("query_id"), F.col("id").alias("row_id"), F.round("score", 4).alias("score"), "rank")
+    ask = asked.select(F.col("id").alias("query_id"), F.lit("one two").alias("text"))
+    return fusion.fuse(one("half"), fusion.gate(one("embedding")), ask)
+
+
+def mrr_recall(spark, d):
+    e = _embeddings(spark, d)
+    return metrics.recall_mrr(_ranks(e)).select("n", *(F.round(c, 4).alias(c) for c in ("r1", "r5", "r10", "r20", "mrr")))
+
+
+def _ranks(e):
+    scores = graph.block_top_k(_asked(e), e, "id", "embedding", 1 << 30, exclude_self=True).select(F.col("query").alias("query_id"), F.col("id").alias("row_id"), F.round("score", 5).alias("score"))
+    asked = _asked(e).select(F.col("id").alias("query_id"), F.col("label").alias("l"))
+    relevant = asked.join(e.select(F.col("id").alias("row_id"), F.col("label").alias("l")), "l").where("query_id != row_id").select("query_id", "row_id")
+    return metrics.best_ranks(scores, relevant)
+
+
+def bootstrap_ci(spark, d):
+    return metrics.bootstrap_interval(_ranks(_embeddings(spark, d)), lambda r: 1 / (r + 1))
+
+
+def top10_agreement(spark, d):
+    e = _embeddings(spark, d).withColumn("scale", vectors.scale_of(F.col("embedding")))
+    e = e.withColumn("back", vectors.dequantize(vectors.quantize(F.col("embedding"), F.col("scale")), F.col("scale")))
+    one = lambda v: graph.block_top_k(_asked(e), e, "id", v, 10, exclude_self=True).select(F.col("query").alias("query_id"), F.col("id").alias("row_id"), "rank")
+    return metrics.agreement(one("embedding"), one("back")).agg(F.round(F.avg("agreement"), 1).alias("agreement"), F.count("*").alias("n"))
+
+
+def gate_calibration(spark, d):
+    e = _embeddings(spark, d)
+    top = graph.block_top_k(_asked(e), e, "id", "embedding", 1, exclude_self=True).select("query", F.round("score", 4).alias("top"))
+    return metrics.propose_gate(top.where(F.col("query") % 100 == 0), top.where(F.col("query") % 100 != 0))
+
+
+def floor_percentiles(spark, d):
+    return metrics.floor_percentiles(_read(spark, d, "articles"), "views", [0.05, 0.5, 0.95])
+
+
+def source_digest(spark, d):
+    return changes.source_digest(_articles(spark, d), FIELDS)
+
+
+def fnv_shard(spark, d):
+    words = _terms(spark, d).select(F.explode(F.concat("t", "r")).alias("term")).distinct()
+    return lexicon.shards(words.withColumn("hash", X.fnv1a32(F.col("term"))))
+
+
+def shard_packs(spark, d):
+    sized = fnv_shard(spark, d).groupBy("shard").agg(F.sum(F.octet_length("term") + 4).cast("bigint").alias("bytes"))
+    return lexicon.packs(sized, 2048)
+
+
+def lexicon_candidates(spark, d):
+    lines = _read(spark, d, "doc_terms").select(F.explode("r").alias("value")).where("value IS NOT NULL")
+    return lexicon.title_candidates(lines.distinct())
+
+
+def hangul_jamo(spark, d):
+    return _read(spark, d, "articles").select("row_id", X.to_jamo(F.col("title")).alias("jamo"))
+
+
+def term_score_hangul(spark, d):
+    p = spark.createDataFrame(oracle.PAIRS, "q string, t string")
+    return p.select("q", "t", X.term_score(F.col("q"), F.col("t")).alias("score"))
+
+
+def strip_particles(spark, d):
+    w = _read(spark, d, "articles").select(F.explode(X.words(F.col("content"))).alias("word")).distinct()
+    return w.select("word", X.strip_particle(F.col("word")).alias("stem"))
+
+
+def bench_variants(spark, d):
+    return benchmark.variants(_articles(spark, d)).where("variant != 'typo'")
+
+
+def bench_typos(spark, d):
+    return benchmark.variants(_articles(spark, d)).where("variant = 'typo'")
+
+
+def keyword_covered(spark, d):
+    q = _articles(spark, d).select(F.col("row_id").alias("query_id"), "row_id", F.concat_ws(" ", F.slice("tags", 1, 2)).alias("text")).where("tags IS NOT NULL")
+    return distill.keyword_covered(q, _meta(spark, d))
+
+
+def query_synthesis(spark, d):
+    return distill.synthesize(_articles(spark, d))
+
+
+def encoder_slots(spark, d):
+    return encoder.slots(_queries(spark), _vocabulary(spark, d)).select("query_id", "slot", "kind", "term")
+
+
+def _vocabulary(spark, d):
+    t = _terms(spark, d).select("id", F.array_distinct(F.concat("t", "r")).alias("x"))
+    df = t.select("id", F.explode("x").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    n = t.count()
+    return lexicon.vocabulary_places(df.withColumn("kept", (F.col("df") >= 2) & (F.col("df") <= 0.6 * n) & (F.length("term") >= 2)))
+
+
+def hashed_vectors(words: list[str], dim: int = 32) -> np.ndarray:
+    """A stand-in for a teacher: unit vectors from a hash of each word."""
+    out = np.zeros((len(words), dim), np.float32)
+    for i, w in enumerate(words):
+        seed = int.from_bytes(w.encode()[:8].ljust(8, b"\0"), "little") % (2**32)
+        out[i] = np.random.default_rng(seed).normal(size=dim)
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+
+
+def student_encode(spark, d):
+    words = [r.term for r in _vocabulary(spark, d).orderBy("place").toLocalIterator()]
+    v = hashed_vectors(words)
+    student = encoder.Student(v, [encoder.Member(np.ones(len(words)), np.eye(v.shape[1]), np.zeros(v.shape[1]))])
+    return encoder.encode(encoder.slots(_queries(spark), _vocabulary(spark, d)), student)
+
+
+def random_walks(spark, d):
+    e = _embeddings(spark, d)
+    edges = graph.adjacency(graph.knn_edges(graph.self_top_k(e, "id", "embedding", 5), 0.2))
+    return related.random_walks(edges.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "weight"), walks=2, length=12)
+
+
+def word2vec_graph(spark, d):
+    return related.node_embeddings(random_walks(spark, d), dim=16, window=5, epochs=1, partitions=1)
+
+
+def layout(spark, d):
+    return related.layout(vectors.mean_pool(_embeddings(spark, d), "label", "embedding").select(F.col("label").alias("id"), F.col("embedding").alias("vector")))
+
+
+def latest_rows(spark, d):
+    w = Window.partitionBy("id").orderBy(F.col("ingested_at").desc(), F.col("row_id").desc())
+    return _read(spark, d, "articles").select("id", "row_id", "ingested_at").withColumn("_n", F.row_number().over(w)).where("_n = 1").select("id", "row_id")
+
+
+NAMES = """literal_title_search keyword_search_substring keyword_search_terms search_exact query_interpretations spelling_correction tag_counts tag_index tag_match doc_meta
+clean_markdown strip_html_body clean_titles title_keywords content_segments chunk_documents passages vocab_df_idf bigram_vocab student_tokens near_dup_jaccard quantize_int8
+dequantize_error cosine_topk knn_edges centroid_pool attribute_edges graph_nodes link_targets edge_merge degree graph_counts drawing_edges neighbours_by_type find_nodes beam_bfs
+related_articles fuse_rank mrr_recall bootstrap_ci top10_agreement gate_calibration floor_percentiles source_digest fnv_shard shard_packs lexicon_candidates hangul_jamo
+term_score_hangul strip_particles bench_variants bench_typos keyword_covered query_synthesis encoder_slots student_encode random_walks word2vec_graph layout latest_rows""".split()
+
 
 def queries() -> dict:
-    return {}
+    return {n: globals()[n] for n in NAMES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.sql()
+
+
+__all__ = ["hangul", "oracle_sql", "queries"]
