@@ -115,8 +115,8 @@ class Transducer:
             f"(?P<emoji>[#*0-9]️?⃣|[{_EMOJI}][️\U0001f3fb-\U0001f3ff]*(?:‍[{_EMOJI}][️\U0001f3fb-\U0001f3ff]*)*)"
             f"|(?P<joined>[؀-ۿऀ-෿က-႟][‌‍]+(?=[؀-ۿऀ-෿က-႟]))"
             f"|(?P<word>[{letter}](?:[{letter}{_MARKS}{hidden}]*[{letter}{_MARKS}])?)"
-            f"|(?P<jamo>[가-힣]?[ᄀ-ᅞᅡ-ᇿ]+)"
-            f"|(?P<marked>[^\\s{_MARKS}{one}][{_MARKS}]+)"
+            f"|(?P<jamo>(?:[가-힣][{hidden}]*)?[ᄀ-ᅞᅡ-ᇿ](?:[ᄀ-ᅞᅡ-ᇿ{hidden}]*[ᄀ-ᅞᅡ-ᇿ])?)"
+            f"|(?P<marked>[^\\s{_MARKS}{one}](?:[{hidden}]*[{_MARKS}])+)"
             f"|(?P<one>[{one}])"
         )
         self._each = str.maketrans(t)
@@ -147,7 +147,7 @@ class Transducer:
             foreign = self._other.findall(flat)
             known = self.likes | LOOSE if self._plain.search(flat) else self.likes
             if all(ch in known for ch in foreign):
-                flat = flat.translate(self._word)
+                flat = ud.normalize("NFC", flat.translate(self._word))
         return flat
 
     def apply(self, text: str) -> str:

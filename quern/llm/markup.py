@@ -373,7 +373,7 @@ def blocks(text: str | None) -> list[tuple[str, str]] | None:
     pieces = marked(text)
     roles: dict[int, str] = {}
     for p in pieces:
-        if p.role and not (p.role in ("code", "formula") and "\n" not in text[p.a : p.b] and p.b - p.a < len(text)):
+        if p.role and p.kind not in ("md_code", "tex_math", "tex_paren"):  # those stand within a line
             last = p.line + text.count("\n", p.a, p.b)
             if p.role == "underline":
                 roles[p.line - 1] = "heading1"

@@ -1,0 +1,186 @@
+"""The text kernels without Spark: exact cases, round trips, brute force."""
+
+import random
+
+import numpy as np
+import pytest
+import tokenizers
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from quern.llm import chars, lines, markup, neardup, packing, tokens
+from quern.llm.knn import CentroidGraph, _best, balanced_centroids
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("ΑΡΙ", "API"), ("СЕО", "CEO"), ("noνel", "novel"), ("ѕсоре", "scope"), ("свобода", "свобода"), ("λόγος", "λόγος"), ("oﬃce", "office"),
+        ("ｆｕｌｌ　１２！", "full 12!"), ("金利", "金利"), ("나\u00a0무\u2007잎", "나 무 잎"), ("저\u2060장\u200b소\ufeff", "저장소"), ("\u1112\u1161\u11ab글", "한글"), ("가\u11a8", "각"),
+        ("nai\u0308ve\u0301", "naïvé"), ("처방‧시간⋅값ㆍ", "처방·시간·값·"), ("non‑stop", "non-stop"), ("👨\u200d👩\u200d👧 👩\u200d🔬 ❤\ufe0f 1\ufe0f\u20e3", "👨\u200d👩\u200d👧 👩\u200d🔬 ❤\ufe0f 1\ufe0f\u20e3"),
+        ("m² ½ × ① Ⅲ ㈜ ㎡ ㅋㅋ “곁” ‘곁’ 『들녘』", "m² ½ × ① Ⅲ ㈜ ㎡ ㅋㅋ “곁” ‘곁’ 『들녘』"), ("a\r\nb\n", "a\r\nb\n"), ("&nbsp;", "&nbsp;"), ("", ""), ("р\u200bер", "pep"), ("क\u094d\u200dष", "क\u094d\u200dष"),
+    ],
+)
+def test_one_form(text, want):
+    assert chars.consistent(text) == want
+
+
+def test_mapping_is_conflict_checked_and_final():
+    t = chars.Transducer()
+    assert not any(ch in t.table for to in t.table.values() for ch in to)
+    table = {"a": "b", "b": "a"}
+    with pytest.raises(chars.Conflict):
+        chars._closed(table)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("aрсе가한\u1100\u1161\u11a8\u200b\u00a0　ｆＡ👩\u200d🔬é\u0301 \n·‧", max_size=30))
+def test_one_pass_is_final(text):
+    once = chars.consistent(text)
+    assert chars.consistent(once) == once
+
+
+def test_null_and_long_texts():
+    assert chars.consistent(None) is None
+    assert chars.consistent("가\u200b" * 200_000) == "가" * 200_000
+
+
+@pytest.mark.parametrize(
+    "text, kinds, clean",
+    [
+        ("<p>가 <b>나</b></p>", ["html"], "가 나"), ("가&nbsp;나 &amp; 다", ["html"], "가 나 & 다"), ("<!-- x -->가", ["html"], "가"), ("## 제목", ["markdown"], "제목"), ("제목\n=====", ["markdown"], "제목\n"),
+        ("**굵게** 가", ["markdown"], "굵게 가"), ("*한 줄*", ["markdown"], "한 줄"), ("[글](/x/1) 가", ["markdown"], "글 가"), ("> 인용", ["markdown"], "인용"), ("`x` ~~y~~ __z__", ["markdown"], "x y z"),
+        ("```\n<b>x</b>\n```", ["markdown"], "\n<b>x</b>\n"), ("| 가 | 1 |\n|---|---|\n| 나 | 2 |", ["markdown"], "가 | 1\n\n나 | 2"), ("== 제목 ==", ["wiki"], "제목"), ("'''가''' ''나''", ["wiki"], "가 나"),
+        ("[[가|나]] [[다]]", ["wiki"], "나 다"), ("[https://a.example/1 글]", ["wiki"], "글"), ("{{인용|가}}", ["wiki"], "가"), ("{|\n|-\n| 가 || 1\n|}", ["wiki"], "\n\n가 | 1\n"), ("\\emph{가 \\textbf{나}}", ["latex"], "가 나"),
+        ("가~\\cite{r1} 나", ["latex"], "가 나"), ("$x^2 + 1$", ["latex"], "x^2 + 1"), ("\\section{가}\n\\item 나", ["latex"], "가\n- 나"), ("**가** <b>나</b>", ["html", "markdown"], "가 나"),
+        *[(x, [], x) for x in ("<주의> 가", "Q&A 시간", "low_rate_case", "값은 $30 안팎", "50% 안팎", "x == y", "[1] 앞", "C:\\자료", "~라고", "#1 순위", "#하루글", "* 가\n* 나", "- 가", "1. 가", "5 * 3 * 2", "a < b 이고 b > c", "x^2", "")],
+    ],
+)
+def test_markup(text, kinds, clean):
+    assert markup.kinds(text) == kinds
+    assert markup.clean(text) == clean
+
+
+def test_markup_keeps_lines_and_structure():
+    text = "# 가\r\n\r\n* 나\r\n* 다\r\n\r\n> 인용\r\n\r\n```py\r\nx = 1\r\n  y\r\n```\r\n\r\n\\[ a = b \\]\n\n본문 **굵게**\n둘째"
+    assert markup.clean(text).count("\n") == text.count("\n")
+    assert markup.blocks(text) == [("heading1", "가"), ("list", "* 나"), ("list", "* 다"), ("quote", "인용"), ("code", "x = 1\n  y"), ("formula", "a = b"), ("paragraph", "본문 굵게\n둘째")]
+    assert markup.blocks(None) is None and markup.blocks("") == [] and markup.clean(None) is None
+
+
+def test_markup_on_held_out_pages():
+    """Accuracy of the tree model on labelled pages of another seed."""
+    right = total = 0
+    for text, marked in markup.labelled_pages(200, seed=99):
+        for k in markup.KINDS:
+            total += 1
+            right += (k in markup.kinds(text)) == bool(marked[k])
+    assert right / total > 0.98
+
+
+def test_markup_marginals_are_exact():
+    """Sum-product equals the sum over all states of a small tree."""
+    m = markup.TreeModel()
+    pieces = [markup.Piece(0, 1, "md_bold", 0, ""), markup.Piece(2, 3, "md_ital", 0, ""), markup.Piece(4, 5, "md_quote", 1, "")]
+    lines_, weight, marked = [0, 1], 0.0, np.zeros(3)
+    import itertools
+
+    for d, b0, b1, *y in itertools.product((0, 1), repeat=6):
+        b = (b0, b1)
+        p = m.doc[d] * m.line[d][b0] * m.line[d][b1]
+        for i, piece in enumerate(pieces):
+            p *= m.piece[b[lines_.index(piece.line)]][y[i]] * m.emit[piece.kind][y[i]]
+        weight += p
+        marked += p * np.array(y)
+    assert np.allclose(m.marginals(pieces), marked / weight)
+
+
+def test_markup_is_linear_on_bad_input():
+    for bad in ("*" * 20_000, "[" * 20_000, "<" * 20_000, "{{" * 10_000, "\\[" * 10_000, "`" * 20_000, "| " * 20_000, "_a" * 20_000, "<!--" * 5_000):
+        markup.clean(bad)
+
+
+def test_line_keys():
+    a, b, c, d, e = lines.line_keys("※ 조회 12 댓글 3 추천\n[조회 4  댓글 56 추천]\n짧은 줄\n\n* 조회 1 댓글 2 추천 *")
+    assert a == b == e != 0 and c == d == 0
+    assert lines.line_keys("") == [0]
+    assert lines.line_keys("Aa bb cc dd\nAA BB CC DD")[0] == lines.line_keys("aa bb cc dd")[0]
+
+
+def test_bag_minhash_is_unbiased():
+    """Agreement of signatures is near the weighted Jaccard similarity."""
+    rng = np.random.default_rng(0)
+    for weighted in (False, True):
+        el = np.arange(120, dtype=np.uint64)
+        wa, wb = (rng.integers(0, 4, 120) if weighted else rng.integers(0, 2, 120) for _ in range(2))
+        owner = np.concatenate([np.zeros((wa > 0).sum(), int), np.ones((wb > 0).sum(), int)])
+        sig = neardup.bag_minhash(owner, np.concatenate([el[wa > 0], el[wb > 0]]), np.concatenate([wa[wa > 0], wb[wb > 0]]), 2, 4096)
+        want = np.minimum(wa, wb).sum() / np.maximum(wa, wb).sum()
+        assert abs((sig[0] == sig[1]).mean() - want) < 0.04
+    assert (neardup.bag_minhash(np.zeros(0, int), np.zeros(0, np.uint64), np.zeros(0, int), 1, 8) == neardup.bag_minhash(np.zeros(0, int), np.zeros(0, np.uint64), np.zeros(0, int), 1, 8)).all()
+
+
+def test_shingles():
+    own, el, w = neardup.shingles(["a b c d", "a b", "", "a b c d", "x y z x y z"], 3, weighted=True)
+    assert [(own == i).sum() for i in range(5)] == [2, 0, 0, 2, 3]
+    assert (el[own == 0] == el[own == 3]).all() and w[own == 4].tolist().count(2) == 1
+
+
+def _tokenizer():
+    t = tokenizers.Tokenizer.from_file(f"{tokens.VOCABULARIES}/byte_bpe_50k.json")
+    t.encode_special_tokens = True
+    return t
+
+
+def test_tokens_equal_the_library_and_round_trip():
+    rng = random.Random(1)
+    bits = ["a", "b", " ", "  ", "\n", "'s", "1", "²", "Ⅲ", "é", "한", "글", "!", "_", "...", "\t", "\x85", "\x1c", "　", "👩\u200d🔬", "'ll", "<|endoftext|>", "e\u0301", "\u00a0", "中"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(0, n))) for n in [12] * 400 + [20_000] * 6] + [" " * 9000, "a" * 9000, " a" * 6000, "\n" * 5000 + "x", "", "한국어 문장 " * 3000]
+    e = tokens.Encoder(tokens.vocabulary())
+    ids, ends = e.encode([None, *texts])
+    assert ends[1] == 0
+    for i, (t, want) in enumerate(zip(texts, _tokenizer().encode_batch(texts, add_special_tokens=False)), 1):
+        got = ids[ends[i] : ends[i + 1]].tolist()
+        assert got == want.ids
+        assert e.decode(got) == t
+    assert e.sizes([None, *texts]).tolist() == np.diff(ends).tolist()
+
+
+def test_tokens_memory_is_bounded():
+    e = tokens.Encoder(tokens.vocabulary(), most=50)
+    for i in range(20):
+        ids, _ = e.encode([f"w{i}x{j}" for j in range(30)])
+        assert len(e) < 200 and e.decode(ids.tolist()) == "".join(f"w{i}x{j}" for j in range(30))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 64), max_size=60))
+def test_packing_is_valid_and_tight(sizes):
+    s = -np.sort(-np.array(sizes, np.int64))
+    where, offset = packing.pack(s, 64)
+    if len(s):
+        assert np.bincount(where, weights=s).max() <= 64
+        for b in np.unique(where):
+            o = np.sort(offset[where == b])
+            assert o[0] == 0 and len(set(o.tolist())) == len(o)
+    used = len(set(where.tolist()))
+    low = packing.least_bins(s, 64)
+    assert low <= used <= max(low + 2, int(1.35 * low))
+
+
+def test_centroid_graph_finds_what_a_scan_finds():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(3000, 16)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    c = balanced_centroids(x, 600)
+    assert len(c) == 600
+    q = x[:300]
+    at, cos = CentroidGraph(c, degree=64, beam=24).search(q, 4)
+    best = (q @ c.T).argmax(1)
+    assert (at[:, 0] == best).mean() > 0.9 and (np.diff(cos, axis=1) <= 1e-6).all()
+
+
+def test_best_breaks_ties_by_row():
+    x = np.ones((4, 2), np.float32)
+    r, o, _ = _best(np.array([5, 3, 9, 1]), x, np.array([5, 3, 9, 1]), x, 2, None)
+    assert sorted(zip(r.tolist(), o.tolist())) == [(1, 3), (1, 5), (3, 1), (3, 5), (5, 1), (5, 3), (9, 1), (9, 3)]
