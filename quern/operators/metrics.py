@@ -38,7 +38,7 @@ def bootstrap_interval(ranks: DataFrame, value, resamples: int = 2000, seed: int
         p /= k
     weight = sum((F.when(u >= s, 1).otherwise(0) for s in steps), F.lit(0))
     draws = rows.join(F.broadcast(spark.range(resamples).withColumnRenamed("id", "b")), F.lit(True)).withColumn("w", weight)  # a stated number of resamples
-    means = draws.groupBy("b").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("m"))
+    means = draws.groupBy("b").agg(F.try_divide(F.sum(F.col("v") * F.col("w")), F.sum("w")).alias("m"))
     return means.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
 
 
