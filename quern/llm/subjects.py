@@ -38,6 +38,8 @@ _WORD = re.compile(r"[가-힣]+|[a-z][a-z]+")
 _SENTENCE = re.compile(r"(?<=[.?!])[ \t]+|[\r\n]+")
 _AXES = 2  # one for each script: Hangul and Latin
 _SCRIPTS = 2
+END, OTHER = -1, -2  # in place of a term's place: a sentence's end, a term outside the vocabulary
+ROWS = 1000  # rows of a batch that are handled at once
 
 
 def term_id(term: str) -> int:
@@ -80,10 +82,17 @@ def term_table(df: DataFrame, key: str, text: str) -> DataFrame:
     return materialize(df.select(F.col(key), F.col(text).alias("text")).mapInArrow(run, f"`{key}` {kind}, terms array<int>"))
 
 
+def slices(batches, rows: int = ROWS):
+    """Batches in slices of bounded memory."""
+    for b in batches:
+        for a in range(0, b.num_rows, rows):
+            yield b.slice(a, rows)
+
+
 def _flat(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """(terms of all rows, the row of each) of a batch whose last column is ``terms``."""
     col = b.column(b.num_columns - 1)
-    return col.flatten().to_numpy(), np.repeat(np.arange(len(col)), np.diff(col.offsets.to_numpy()))
+    return col.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(col)), np.diff(col.offsets.to_numpy()))
 
 
 def document_counts(table: DataFrame) -> DataFrame:
@@ -117,7 +126,7 @@ def tree_sum(parts: DataFrame, fan_in: int = 16) -> np.ndarray | None:
         n = -(-n // fan_in)
         parts = parts.repartition(n).mapInArrow(add, "part binary")
     total = None
-    for row in parts.toLocalIterator():
+    for row in parts.collect():  # ``fan_in`` rows at the most
         x = np.frombuffer(row[0], np.float64)
         total = x.copy() if total is None else total + x
     return total
@@ -131,45 +140,62 @@ class Space:
         self.vectors: np.ndarray | None = None
         self.centroids: np.ndarray | None = None
         self.weights: np.ndarray | None = None
+        self.topical: np.ndarray | None = None
 
     def places(self, t: np.ndarray) -> np.ndarray:
-        """Each term's place in the vocabulary, -1 if it has none."""
+        """Each term's place in the vocabulary, OTHER if it has none, END for the end of a sentence."""
         at = np.minimum(np.searchsorted(self.vocab, t), len(self.vocab) - 1)
-        return np.where(self.vocab[at] == t, at, -1)
+        return np.where(self.vocab[at] == t, at, np.where(t == 0, END, OTHER)).astype(np.int32)
 
     def settle(self) -> None:
         """Topicality of terms: 0 for those like no centroid, 1 for those clearly like one, times idf."""
         best = (self.vectors @ self.centroids.T).max(1)
-        self.weights = (np.clip((best - 0.45) / 0.2, 0.0, 1.0) * self.idf)[:, None] * self.vectors
-
-    def embed(self, t: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(sentence vectors, the row of each sentence)."""
-        ends = np.flatnonzero(t == 0)
-        starts = np.concatenate([np.zeros(1, np.int64), ends[:-1] + 1])
-        at = self.places(t)
-        table = np.concatenate([self.weights, np.zeros((1, self.weights.shape[1]), self.weights.dtype)])  # -1 is the last
-        return np.add.reduceat(table[at], starts, axis=0), own[ends]
+        self.weights = ((np.clip((best - 0.45) / 0.2, 0.0, 1.0) * self.idf)[:, None] * self.vectors).astype(np.float32)
+        self.topical = np.append(self.weights.any(1), False)  # END and OTHER are no place
+
+    def embed(self, at: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sentence vectors, the row of each sentence) of places; only topical terms are looked up."""
+        ends = np.flatnonzero(at == END)
+        sentence = np.cumsum(at == END) - (at == END)
+        topical = np.flatnonzero((at >= 0) & self.topical[at])
+        out = np.zeros((len(ends), self.weights.shape[1]), np.float32)
+        if len(topical):
+            s = sentence[topical]
+            starts = np.flatnonzero(np.diff(s, prepend=-1))
+            out[s[starts]] = np.add.reduceat(self.weights[at[topical]], starts, axis=0)
+        return out, own[ends]
 
     def nearest(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(centroid, cosine) of each vector; cosine 0 for zero vectors."""
         norm = np.linalg.norm(vectors, axis=1)
-        cos = (vectors @ self.centroids.T) / np.maximum(norm, 1e-9)[:, None]
+        cos = (vectors @ self.centroids.T.astype(np.float32)) / np.maximum(norm, 1e-9)[:, None]
         k = cos.argmax(1)
         return k, cos[np.arange(len(k)), k]
 
 
-def fit(table: DataFrame, seeds: list[list[str]], least_df: float = 0.0005, most_df: float = 0.6, rank: int = 56, passes: int = 3, rounds: int = 3, similar: float = 0.6) -> Space | None:
-    """The space of a term table; ``seeds`` has the cues of each subject."""
+def fit(table: DataFrame, seeds: list[list[str]], least_df: float = 0.0005, most_df: float = 0.6, rank: int = 48, passes: int = 2, rounds: int = 2, similar: float = 0.6) -> tuple[Space, DataFrame] | None:
+    """The space of a term table, and the table with places for terms; ``seeds`` has the cues of each subject."""
     n = table.count()
     counts = document_counts(table).where((F.col("df") >= max(2, min(5, n // 100), least_df * n)) & (F.col("df") <= max(2, most_df * n)))
-    rows = sorted((r.term, r.df) for r in counts.toLocalIterator())
+    rows = sorted((r.term, r.df) for r in counts.collect())  # bounded by ``least_df``
     if not rows:
         return None
     vocab, df = np.array([r[0] for r in rows], np.int32), np.array([r[1] for r in rows], np.float64)
     space = Space(vocab, np.log((n + 1) / (df + 1)) + 1)
     size = len(vocab)
     width = min(rank + 8, size)
-    chunk = max(1, 8_000_000 // size)
+    chunk = max(1, min(ROWS, 2_000_000 // size))
+    key = table.columns[0]
+
+    def place(batches):
+        for b in slices(batches):
+            own = b.column(1)
+            at = space.places(own.flatten().to_numpy(zero_copy_only=False))
+            offsets = own.offsets.to_numpy() - own.offsets[0].as_py()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(at))], names=[key, "terms"])
+
+    table = materialize(table.mapInArrow(place, table.schema))
+    weight = space.idf.astype(np.float32)
     basis = np.linalg.qr(np.random.default_rng(0).normal(size=(size, width)))[0]
 
     for p in range(passes + 1):
@@ -178,16 +204,13 @@ def fit(table: DataFrame, seeds: list[list[str]], least_df: float = 0.0005, most
 
         def run(batches, q=q):
             total = np.zeros((size, width))
-            for whole in batches:
-                for a in range(0, whole.num_rows, chunk):
-                    t, own = _flat(whole.slice(a, chunk))
-                    at = space.places(t)
-                    own, at = own[(t != 0) & (at >= 0)], at[(t != 0) & (at >= 0)]
-                    docs = min(chunk, whole.num_rows - a)
-                    x = np.bincount(own * size + at, minlength=docs * size).reshape(docs, size).astype(np.float32)
-                    x = np.log1p(x) * space.idf.astype(np.float32)
-                    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-                    total += x.T @ (x @ q)
+            for b in slices(batches, chunk):
+                at, own = _flat(b)
+                own, at = own[at >= 0], at[at >= 0]
+                x = np.bincount(own * size + at, minlength=b.num_rows * size).reshape(b.num_rows, size).astype(np.float32)
+                x = np.log1p(x, out=x) * weight
+                x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-9)[:, None]
+                total += x.T @ (x @ q)
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
 
         y = tree_sum(table.select("terms").mapInArrow(run, "part binary")).reshape(size, width)
@@ -213,19 +236,18 @@ def fit(table: DataFrame, seeds: list[list[str]], least_df: float = 0.0005, most
 
         def refine(batches):
             total = np.zeros_like(space.centroids)
-            for b in batches:
-                if b.num_rows:
-                    v, _ = space.embed(*_flat(b))
-                    k, cos = space.nearest(v)
-                    for j in np.unique(k[cos > similar]):
-                        total[j] += v[(k == j) & (cos > similar)].sum(0)
+            for b in slices(batches):
+                v, _ = space.embed(*_flat(b))
+                k, cos = space.nearest(v)
+                for j in np.unique(k[cos > similar]):
+                    total[j] += v[(k == j) & (cos > similar)].sum(0)
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
 
         c = tree_sum(table.select("terms").mapInArrow(refine, "part binary")).reshape(space.centroids.shape)
         norm = np.linalg.norm(c, axis=1, keepdims=True)
         space.centroids = np.where(norm > 0, c / np.maximum(norm, 1e-9), space.centroids)
         space.settle()
-    return space
+    return space, table
 
 
 def subject_shares(df: DataFrame, key: str, text: str, subjects: DataFrame, least_share: float = 0.175, similar: float = 0.5) -> DataFrame:
@@ -238,14 +260,13 @@ def subject_shares(df: DataFrame, key: str, text: str, subjects: DataFrame, leas
     rows = sorted((r.subject, list(r.cues or [])) for r in subjects.select("subject", "cues").where(F.col("subject").isNotNull()).collect())
     names = [r[0] for r in rows]
     table = term_table(df, key, text)
-    space = fit(table, [r[1] for r in rows]) if names else None
-    if space is None:
+    fitted = fit(table, [r[1] for r in rows]) if names else None
+    if fitted is None:
         return df.sparkSession.createDataFrame([], schema)
+    space, table = fitted
 
     def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in slices(batches):
             v, own = space.embed(*_flat(b))
             k, cos = space.nearest(v)
             n = np.bincount(own, minlength=b.num_rows)
