@@ -11,7 +11,7 @@ Items are spread over shards by a hash of their key, each of a bounded number
 of rows, so the shards pack at once and independently; a shard wastes no more
 than a few containers beyond its bound.
 
-Defined results: null and empty texts take no part; equal sizes are ordered by
+Defined results: null and empty texts and rows without a key take no part; equal sizes are ordered by
 key; repeated keys are items of their own; an empty table gives no container.
 """
 
@@ -83,7 +83,7 @@ def containers(items: DataFrame, key: str, size: str, capacity: int = 2048, line
     items of a container from 0, ``offset`` its tokens before the item.
     """
     quadratic = 1.0 / capacity if quadratic is None else quadratic
-    items = items.select(F.col(key).alias("key"), F.col(size).cast("long").alias("size")).where("size > 0")
+    items = items.select(F.col(key).alias("key"), F.col(size).cast("long").alias("size")).where("size > 0 AND key IS NOT NULL")
     kind = dict(items.dtypes)["key"]
     items = materialize(items)
     shards = max(1, math.ceil(items.count() / shard_rows))

@@ -28,7 +28,7 @@ def top_n(df: DataFrame, group: str, item: str, score: str, n: int = 10, shares:
     spark = df.sparkSession
     rows = df.select(F.col(group).alias("g"), F.col(item).alias("i"), F.col(score).cast("double").alias("s")).where("g IS NOT NULL AND i IS NOT NULL AND s IS NOT NULL AND NOT isnan(s)")
     best = rows.groupBy("g", "i").agg(F.max("s").alias("s"))
-    edges = rows.stat.approxQuantile("s", [1 - x for x in shares], 0.005)
+    edges = rows.agg(F.percentile_approx("s", [1 - x for x in shares], 1000)).first()[0] or [] if shares else []
     band = F.lit(len(edges))
     for k in reversed(range(len(edges))):
         band = F.when(F.col("s") >= edges[k], k).otherwise(band)
