@@ -91,8 +91,8 @@ def bigrams(c: Column) -> Column:
     return F.when(n >= 2, F.zip_with(F.slice(c, F.lit(1), n - 1), F.slice(c, F.lit(2), n - 1), lambda a, b: F.concat(a, b))).otherwise(F.array().cast("array<string>"))
 
 
-def to_jamo(c: Column) -> Column:
-    """Syllables as compatibility jamo; all else as it is."""
+def _jamo_parts(c: Column) -> Column:
+    """The jamo of each character."""
 
     def one(ch: Column) -> Column:
         at = F.ascii(ch) - 0xAC00
@@ -100,7 +100,22 @@ def to_jamo(c: Column) -> Column:
         parts = F.concat(pick(hangul.INITIALS, F.floor(at / 588)), pick(hangul.VOWELS, F.floor(at % 588 / 28)), F.btrim(pick(hangul.FINALS, at % 28)))
         return F.when((F.length(ch) == 1) & at.between(0, 11171), parts).otherwise(ch)
 
-    return F.array_join(F.transform(F.split(c, ""), one), "")
+    return F.transform(F.split(c, ""), one)
+
+
+def to_jamo(c: Column) -> Column:
+    """Syllables as compatibility jamo; all else as it is."""
+    return F.array_join(_jamo_parts(c), "")
+
+
+def spelled(c: Column) -> Column:
+    """struct<w, j, at, h>: a word, its jamo, where each of its first n characters end in them, and whether it has Hangul.
+
+    Made once for each word, so that pairs of words need no more than cuts.
+    """
+    n = F.transform(_jamo_parts(c), F.length)
+    ends = F.transform(n, lambda x, i: F.aggregate(F.slice(n, F.lit(1), i + 1), F.lit(0), lambda s, y: s + y))
+    return F.struct(c.alias("w"), to_jamo(c).alias("j"), ends.alias("at"), has_hangul(c).alias("h"))
 
 
 def fuzzy_equal(a: Column, b: Column, ja: Column, jb: Column) -> Column:
@@ -126,6 +141,24 @@ def term_score(q: Column, t: Column, jq: Column | None = None, jt: Column | None
     )
 
 
+def spelled_score(q: Column, t: Column) -> Column:
+    """``term_score`` of two ``spelled`` words."""
+    w, v, nq, nt = q["w"], t["w"], F.length(q["w"]), F.length(t["w"])
+    short, long = F.least(nq, nt), F.greatest(nq, nt)
+    near = lambda a, b, n: F.when(F.abs(F.length(a) - F.length(b)) <= 2, F.levenshtein(a, b, 2).between(0, F.when(n >= 4, 2).otherwise(1))).otherwise(False)
+    head = lambda x, n: F.substring(x["j"], F.lit(1), F.get(x["at"], n - 1))
+    both = q["h"] & t["h"]
+    cut = F.when(nq > nt, near(head(q, nt), t["j"], short) & has_hangul(F.substring(w, F.lit(1), nt))).otherwise(near(q["j"], head(t, nq), short) & has_hangul(F.substring(v, F.lit(1), nq)))
+    return (
+        F.when(w == v, 1.0)
+        .when((short >= 2) & (F.contains(v, w) | (F.contains(w, v) & (nt >= nq * 0.6))), 0.9)
+        .when(~both | (short < 2), 0.0)
+        .when(near(q["j"], t["j"], short), 0.7)
+        .when((short >= 3) & (short * 2 >= long) & (nq != nt) & cut, 0.65)
+        .otherwise(0.0)
+    )
+
+
 def fnv1a32(c: Column) -> Column:
     """FNV-1a over UTF-16 code units, as a non-negative long."""
     units = F.transform(F.split(F.hex(F.encode(c, "UTF-16BE")), "(?<=\\G.{4})"), lambda h: F.conv(h, 16, 10).cast("long"))

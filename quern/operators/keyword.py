@@ -47,11 +47,16 @@ def postings(terms: DataFrame) -> DataFrame:
 
 
 def term_matches(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(term, word, score) of each query term and each word that answers it."""
-    q = F.broadcast(terms.select("term").distinct().withColumn("jq", X.to_jamo(F.col("term"))))
-    v = vocabulary.select("word").distinct().withColumn("jt", X.to_jamo(F.col("word")))
+    """(term, word, score, ...) of each query term and each word of a distinct vocabulary that answers it.
+
+    Columns beside ``word`` come along.  Words are spelled out once; the few
+    terms reach every task.
+    """
+    q = F.broadcast(terms.select("term").distinct().withColumn("q", X.spelled(F.col("term"))))
+    # Few bytes but much work a word: spread over all cores, which coalescing by size would undo.
+    v = vocabulary.repartition(vocabulary.sparkSession.sparkContext.defaultParallelism).withColumn("v", X.spelled(F.col("word")))
     hit = v.join(q, F.greatest(F.length("term"), F.length("word")) > 0)
-    return hit.select("term", "word", X.term_score(F.col("term"), F.col("word"), F.col("jq"), F.col("jt")).alias("score")).where("score > 0")
+    return hit.withColumn("score", X.spelled_score(F.col("q"), F.col("v"))).where("score > 0").drop("q", "v")
 
 
 def keyword_search(queries: DataFrame, meta: DataFrame, terms: DataFrame, k: int = K) -> DataFrame:
@@ -63,7 +68,7 @@ def keyword_search(queries: DataFrame, meta: DataFrame, terms: DataFrame, k: int
     """
     wanted = interpretations(queries).select("query_id", "interp", F.size("terms").alias("n"), F.posexplode("terms").alias("no", "term"))
     post = postings(terms)
-    matches = F.broadcast(term_matches(wanted, post.select(F.col("term").alias("word"))))
+    matches = F.broadcast(term_matches(wanted, post.select(F.col("term").alias("word")).distinct()))
     found = post.withColumnRenamed("term", "word").join(matches, "word").groupBy("term", "row_id").agg(F.max(F.when(F.col("in_title"), F.col("score") * 2)).alias("title"), F.max(F.when(~F.col("in_title"), F.col("score"))).alias("rest"))
     best = found.select("term", "row_id", F.coalesce("title", "rest").alias("best"))
     full = best.join(F.broadcast(wanted), "term").groupBy("query_id", "interp", "row_id", "n").agg(F.sum("best").alias("total"), F.count("*").alias("hit")).where("hit = n")
@@ -96,7 +101,7 @@ def correct(queries: DataFrame, meta: DataFrame, vocab: DataFrame) -> DataFrame:
     """(query_id, corrected): the spelling that the vocabulary suggests, for queries without a literal hit that need one."""
     asked = queries.join(literal_hits(queries, meta).select("query_id").distinct(), "query_id", "left_anti")
     wanted = interpretations(asked).select("query_id", "interp", F.size("terms").alias("n"), F.posexplode("terms").alias("no", "term"))
-    hit = term_matches(wanted, vocab).join(vocab, "word")
+    hit = term_matches(wanted, vocab)
     order = Window.partitionBy("term").orderBy(F.col("score").desc(), F.abs(F.length("word") - F.length("term")), "place")
     best = hit.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("term", "word", "score")
     swap = (F.col("score") < 1) & (F.col("score") >= 0.65) & (F.col("word") != F.col("term"))
@@ -140,6 +145,6 @@ def match_tags(queries: DataFrame, counts: DataFrame, k: int = 3, least: float =
     wanted = queries.select("query_id", F.explode(X.words(F.col("text"))).alias("term")).distinct()
     names = counts.withColumn("word", F.lower("name"))
     hit = term_matches(wanted, names).where(F.col("score") >= least)
-    scored = names.join(F.broadcast(hit), "word").join(F.broadcast(wanted), "term").groupBy("query_id", "name", "count", "first_row").agg(F.max("score").alias("score"))
+    scored = hit.join(F.broadcast(wanted), "term").groupBy("query_id", "name", "count", "first_row").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("count").desc(), "first_row", "name")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("first_row")

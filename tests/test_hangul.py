@@ -34,6 +34,17 @@ def test_within_is_the_edit_distance(a, b, most):
     assert H.within(a, b, most) == (levenshtein(a, b) <= most)
 
 
+def test_spelled_words_score_alike(spark):
+    from pyspark.sql import functions as F
+
+    from quern.functions import text as X
+
+    words = ["세금", "쎄금", "세금인상", "tax", "taxes", "인플레이숀의", "인플레이션", "ai시대", "ai시대에서", "", "나는", "사유재솬", "사유재산", "값😀", "교육과정에서부터", "교욱과정", "a가나다", "가나다라마바", "abc가"]
+    df = spark.createDataFrame([(a, b) for a in words for b in words], "q string, t string")
+    for r in df.select("q", "t", X.spelled_score(X.spelled(F.col("q")), X.spelled(F.col("t"))).alias("s")).collect():
+        assert r.s == H.term_score(r.q, r.t), (r.q, r.t)
+
+
 def test_columns_equal_their_twins(spark):
     from pyspark.sql import functions as F
 
