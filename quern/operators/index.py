@@ -20,7 +20,7 @@ def chunk(paragraphs: list[str], soft: int = CHUNK, hard: int = HARD, least: int
         if held and len(held) + len(p) > soft:
             out.append(held)
             held = ""
-        held = f"{held} {p}" if held else p
+        held = f"{held} {p}".strip()
         while len(held) > hard:
             out.append(held[:hard])
             held = held[hard:]

@@ -42,6 +42,12 @@ def bootstrap_interval(ranks: DataFrame, value, resamples: int = 2000, seed: int
     return means.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
 
 
+def coverage(queries: DataFrame, slots: DataFrame) -> DataFrame:
+    """(n, covered): the percentage of queries that have a slot."""
+    some = slots.select("query_id").distinct().withColumn("has", F.lit(1))
+    return queries.select("query_id").join(some, "query_id", "left").agg(F.count("*").alias("n"), (100 * F.avg(F.coalesce("has", F.lit(0)))).alias("covered"))
+
+
 def agreement(a: DataFrame, b: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, agreement): the share of the first ``k`` that two ranked lists have in common."""
     top = lambda x: x.where(F.col("rank") <= k).select("query_id", "row_id")

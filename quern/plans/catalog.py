@@ -16,6 +16,7 @@ from quern.functions import text as X
 from quern.operators import benchmark, distill, encoder, fusion, graph, index, keyword, lexicon, metrics, related
 from quern.plans import oracle
 from quern.sources import articles as A
+from quern.sources import assets
 from quern.streaming import changes
 
 HOST = "read.example"
@@ -348,6 +349,17 @@ def layout(spark, d):
     return related.layout(vectors.mean_pool(_embeddings(spark, d), "label", "embedding").select(F.col("label").alias("id"), F.col("embedding").alias("vector")))
 
 
+def eval_items(spark, d):
+    """Each source's candidates as an evaluation item of that source."""
+    pairs = _read(spark, d, "related").where("src != id").select("src", "id").distinct()
+    items = pairs.groupBy("src").agg(F.collect_list("id").alias("relevant")).select(F.col("src").alias("query_id"), F.col("src").alias("text"), "relevant")
+    return assets.relevant_rows(items, _meta(spark, d)).select("query_id", F.size("rows").alias("n"), F.array_min("rows").alias("first_row"), F.array_max("rows").alias("last_row"))
+
+
+def slot_coverage(spark, d):
+    return metrics.coverage(_queries(spark), encoder.slots(_queries(spark), _vocabulary(spark, d))).withColumn("covered", F.round("covered", 4))
+
+
 def latest_rows(spark, d):
     w = Window.partitionBy("id").orderBy(F.col("ingested_at").desc(), F.col("row_id").desc())
     return _read(spark, d, "articles").select("id", "row_id", "ingested_at").withColumn("_n", F.row_number().over(w)).where("_n = 1").select("id", "row_id")
@@ -357,7 +369,7 @@ NAMES = """literal_title_search keyword_search_substring keyword_search_terms se
 clean_markdown strip_html_body clean_titles title_keywords content_segments chunk_documents passages vocab_df_idf bigram_vocab student_tokens near_dup_jaccard quantize_int8
 dequantize_error cosine_topk knn_edges centroid_pool attribute_edges graph_nodes link_targets edge_merge degree graph_counts drawing_edges neighbours_by_type find_nodes beam_bfs
 related_articles fuse_rank mrr_recall bootstrap_ci top10_agreement gate_calibration floor_percentiles source_digest fnv_shard shard_packs lexicon_candidates hangul_jamo
-term_score_hangul strip_particles bench_variants bench_typos keyword_covered query_synthesis encoder_slots student_encode random_walks word2vec_graph layout latest_rows""".split()
+term_score_hangul strip_particles bench_variants bench_typos keyword_covered query_synthesis encoder_slots student_encode random_walks word2vec_graph layout eval_items slot_coverage latest_rows""".split()
 
 
 def queries() -> dict:

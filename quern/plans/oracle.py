@@ -119,6 +119,35 @@ o AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY query_id, row_id O
 SELECT query_id, row_id, score, source, CASE WHEN query_id IN (SELECT query_id FROM sem) THEN led ELSE 'keyword' END AS tier, rank FROM (SELECT query_id, row_id, score, source, led, row_number() OVER (PARTITION BY query_id ORDER BY second, rank) AS rank FROM o) WHERE rank <= 20"""
 
 
+def _chunks(paras: str) -> str:
+    """The greedy fold over paragraphs, with {done, buf} as its state."""
+    flush = "(length(acc.buf) + length(p.buf) > 550 AND acc.buf <> '')"
+    buf = f"(CASE WHEN {flush} THEN p.buf ELSE trim(acc.buf || ' ' || p.buf, ' ') END)"
+    cuts = f"(CASE WHEN length({buf}) > 800 THEN ceil(length({buf}) / 800.0)::INT - 1 ELSE 0 END)"
+    done = f"list_concat(CASE WHEN {flush} THEN list_concat(acc.done, [acc.buf]) ELSE acc.done END, list_transform(range(0, {cuts}), lambda i: substr({buf}, i * 800 + 1, 800)))"
+    state = f"list_reduce(list_transform({paras}, lambda p: {{'done': []::VARCHAR[], 'buf': p}}), lambda acc, p: {{'done': {done}, 'buf': substr({buf}, {cuts} * 800 + 1)}}, {{'done': []::VARCHAR[], 'buf': ''}})"
+    return f"(SELECT CASE WHEN length(x.buf) >= 50 OR len(x.done) = 0 THEN list_concat(x.done, [x.buf]) ELSE x.done END FROM (SELECT {state} AS x))"
+
+
+def _beam() -> str:
+    """Four levels of the beam search, one after another."""
+    out = [
+        _E,
+        "pr AS (SELECT a.id AS a, b.id AS b, array_inner_product(a.v, b.v) AS sim FROM e a JOIN e b ON a.id <> b.id)",
+        "kn AS (SELECT * FROM pr QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(sim, 5) DESC, b) <= 10)",
+        "un AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM kn WHERE sim >= 0.2)",
+        "adj AS (SELECT a AS src, b AS dst FROM un UNION SELECT b, a FROM un)",
+        "f AS (SELECT id AS src, id FROM e WHERE id % 50 = 0)",
+    ]
+    front, seen = "f", "SELECT src, id FROM f"
+    for d in range(4):
+        out.append(f"n{d} AS (SELECT DISTINCT x.src, adj.dst AS id FROM {front} x JOIN adj ON adj.src = x.id WHERE NOT EXISTS (SELECT 1 FROM ({seen}) z WHERE z.src = x.src AND z.id = adj.dst))")
+        out.append(f"s{d} AS (SELECT n.src, n.id, pr.sim * {0.9**d!r} AS score, {d} AS level FROM n{d} n JOIN pr ON pr.a = n.src AND pr.b = n.id)")
+        out.append(f"f{d} AS (SELECT src, id FROM s{d} QUALIFY row_number() OVER (PARTITION BY src ORDER BY round(score, 6) DESC, id) <= 16)")
+        front, seen = f"f{d}", seen + f" UNION ALL SELECT src, id FROM n{d}"
+    return "WITH " + ", ".join(out) + " SELECT src, id, round(score, 4) AS score, level FROM (" + " UNION ALL ".join(f"SELECT * FROM s{d}" for d in range(4)) + ")"
+
+
 def sql() -> dict[str, str]:
     base = f"WITH {_A}, {_T}, {_QS}, {_I}, {_W}, {_P}, {_LIT}"
     terms = f"{base}, {_POST}, {_M}, {_HIT} {_SEARCH}"
@@ -184,4 +213,20 @@ SELECT train_id, eval_id, round(c / (len(l.x) + len(r.x) - c), 6) AS jaccard FRO
         "latest_rows": "SELECT id, row_id FROM articles QUALIFY row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC, row_id DESC) = 1",
         "lexicon_candidates": f"WITH w AS (SELECT DISTINCT unnest(r) AS word FROM doc_terms) SELECT word, CASE WHEN {strip('word')} = word THEN 'single' ELSE 'compound' END AS kind FROM w WHERE regexp_matches(word, '^[가-힣]{{2,6}}$') AND ({strip('word')} = word OR length(word) <= 4)",
     }
-    return out
+    paras = f"list_filter(list_transform(string_split_regex(content, '(\\r?\\n){{2,}}'), lambda c: {tidy(chain('c', *_MD, ('<[^>]+>', ' '), (f'(?m)^[>#*{chr(92)}-|{_WS_IN}]+', ''), ('[*_`~]{1,3}', '')))}), lambda c: c <> '')"
+    chunked = lambda key, table: f"(SELECT {key} AS k, title, {_chunks('ps')} AS ch FROM (SELECT {key}, title, CASE WHEN content IS NULL THEN [] ELSE {paras} END AS ps FROM {table}))"
+    parts = f"list_distinct(list_filter(list_transform(string_split_regex({_BODY}, {_q('[.!?' + chr(92) + 'n,;:·…' + chr(34) + '“”' + chr(39) + '‘’()' + chr(92) + '[' + chr(92) + ']]')}), lambda c: {tidy('c')}), lambda c: length(c) BETWEEN 8 AND 40 AND regexp_matches(c, '[가-힣]{{2}}')))"
+    back = "list_transform(v, lambda x: (round_even(x / m, 0) * m)::FLOAT::DOUBLE)"
+    ten = lambda n, v: f"{n} AS (SELECT q, id FROM (SELECT a.id AS q, b.id AS id, row_number() OVER (PARTITION BY a.id ORDER BY round(list_dot_product(a.{v}, b.{v}), 5) DESC, b.id) AS r FROM k a JOIN k b ON a.id <> b.id WHERE a.id % 50 = 0) WHERE r <= 10)"
+    return out | {
+        "chunk_documents": f"SELECT k AS row_id, generate_subscripts(ch, 1) - 1 AS chunk_no, unnest(ch) AS chunk FROM {chunked('row_id', 'articles')}",
+        "passages": f"WITH {_A} SELECT k AS id, generate_subscripts(ch, 1) - 1 AS chunk_no, 'passage: ' || title || chr(10) || unnest(ch) AS passage FROM {chunked('id', 'a')}",
+        "content_segments": f"SELECT row_id, unnest(s) AS segment FROM (SELECT row_id, {parts} AS s FROM articles WHERE content IS NOT NULL)",
+        "keyword_covered": f"""WITH {_A}, q AS (SELECT row_id, title, coalesce(array_to_string(tags[1:2], ' '), '') AS text FROM a WHERE tags IS NOT NULL),
+w AS (SELECT row_id, list_transform({words('text')}, lambda w: {strip('w')}) AS nouns, {joined('lower(text)')} AS whole, list_transform({words('title')}, lambda w: {strip('w')}) AS tt, {joined('lower(title)')} AS tj FROM q)
+SELECT row_id AS query_id, row_id, (length(whole) >= 2 AND contains(tj, whole)) OR (len(nouns) > 0 AND len(list_filter(nouns, lambda x: list_contains(tt, x) OR contains(tj, x))) / len(nouns) >= 0.6) AS covered FROM w""",
+        "top10_agreement": f"WITH k0 AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, list_max(list_transform(embedding::DOUBLE[], lambda x: abs(x))) / 127 AS m FROM embeddings), k AS (SELECT id, v, {back} AS w FROM k0), {ten('x', 'v')}, {ten('y', 'w')}, g AS (SELECT q, count(*) FILTER ((q, id) IN (SELECT (q, id) FROM y)) / 10 AS s FROM x GROUP BY q) SELECT round(avg(s), 1) AS agreement, count(*) AS n FROM g",
+        "beam_bfs": _beam(),
+        "eval_items": f"WITH {_A} SELECT src AS query_id, count(*)::INT AS n, min(row_id) AS first_row, max(row_id) AS last_row FROM (SELECT DISTINCT src, id FROM related WHERE src <> id) JOIN (SELECT id, row_id FROM a) USING (id) GROUP BY src",
+        "related_articles": f"SELECT src, id, score, rank FROM (SELECT src, id, score, row_number() OVER (PARTITION BY src ORDER BY score DESC, id) AS rank FROM ({_beam()})) WHERE rank <= 10",
+    }

@@ -197,7 +197,7 @@ def test_metrics(spark):
     r = metrics.recall_mrr(ranks).first()
     assert (r.n, r.r1, r.r5, r.r10, r.r20) == (4, 25, 50, 50, 50) and abs(r.mrr - (1 + 1 / 5 + 1 / 31) / 4) < 1e-12
     ci = metrics.bootstrap_interval(ranks.fillna(99), lambda c: 1 / (c + 1), resamples=400).first()
-    assert 0 < ci.low < r.mrr < ci.high < 1
+    assert 0 < ci.low < r.mrr < ci.high <= 1
     p = {x.q: x.value for x in metrics.floor_percentiles(spark.createDataFrame([(i,) for i in [5, 1, 1, 9, None]], "v int"), "v", [0.0, 0.5, 1.0]).collect()}
     assert p == {0.0: 1, 0.5: 1, 1.0: 9}
 
@@ -342,3 +342,37 @@ def test_held_out_links(spark):
     scores = spark.createDataFrame([("a", "x", 0.9), ("a", "y", 0.8), ("a", "z", 0.95)], "src string, id string, score double")
     r = related.link_quality(scores, spark.createDataFrame([("a", "y"), ("a", "q")], "src string, dst string"), spark.createDataFrame([("a", "z")], "src string, dst string")).first()
     assert r.n == 2 and r.mrr == 0.25 and r.recall == 0.5
+
+
+def test_assets(spark, tmp_path):
+    import gzip
+
+    from quern.sources import assets, sinks
+
+    x = np.arange(-6, 6, dtype=np.int8).reshape(4, 3)
+    (tmp_path / "v.bin").write_bytes(x.tobytes())
+    got = {r.row_no: list(r.vector) for r in assets.read_int8(spark, str(tmp_path / "v.bin"), 3).collect()}
+    assert got == {i: v.tolist() for i, v in enumerate(x)}
+    scales = spark.createDataFrame([(i, 0.5) for i in range(4)], "row_no long, scale double")
+    assert {r.row_no: list(r.vector) for r in assets.read_int8(spark, str(tmp_path / "v.bin"), 3, scales).collect()} == {i: (v / 2).tolist() for i, v in enumerate(x)}
+    with pytest.raises(Exception):
+        assets.read_int8(spark, str(tmp_path / "v.bin"), 5).count()
+    np.savez(tmp_path / "e.npz", ids=np.array(["a", "b"]), vectors=np.ones((2, 3)))
+    assert {(r.id, tuple(r.vector)) for r in assets.read_npz(spark, str(tmp_path / "e.npz")).collect()} == {("a", (1, 1, 1)), ("b", (1, 1, 1))}
+    (tmp_path / "terms.json").write_text(json.dumps({"docs": [{"t": ["a"], "r": []}, {"t": [], "r": ["b"]}]}))
+    assert [(r.row_id, r.t, r.r) for r in assets.read_terms(spark, str(tmp_path / "terms.json")).orderBy("row_id").collect()] == [(0, ["a"], []), (1, [], ["b"])]
+    with gzip.open(tmp_path / "w.gz", "wt") as f:
+        f.write("나무 3\n")
+    assert assets.read_words(spark, str(tmp_path / "w.gz")).first().value == "나무 3"
+    (tmp_path / "eval.json").write_text(json.dumps([{"text": "x", "relevant": ["1", "9"]}, {"text": "y", "relevant": ["9"]}]))
+    (tmp_path / "probes.json").write_text(json.dumps(["p", "q"]))
+    meta = spark.createDataFrame([("1", 7)], "id string, row_id long")
+    assert [(r.query_id, r.text, r.rows) for r in assets.relevant_rows(assets.read_eval(spark, str(tmp_path / "eval.json")), meta).collect()] == [(0, "x", [7])]
+    assert [r.text for r in assets.read_probes(spark, str(tmp_path / "probes.json")).orderBy("query_id").collect()] == ["p", "q"]
+    docs = spark.createDataFrame([(0, "1"), (1, "2")], "place int, id string")
+    assert {(r.place, r.row_id) for r in assets.student_rows(docs, meta).collect()} == {(0, 7), (1, -1)}
+    nodes = spark.createDataFrame([("a", "article", "A")], "id string, type string, label string")
+    edges = spark.createDataFrame([("a", "b", "knn", 0.5)], "src string, dst string, type string, weight double")
+    sinks.write_graph(nodes, edges, str(tmp_path / "graph"))
+    n, e = assets.read_graph(spark, str(tmp_path / "graph"))
+    assert n.first().label == "A" and e.first().weight == 0.5
