@@ -130,12 +130,12 @@ def tag_counts(meta: DataFrame) -> DataFrame:
     return meta.select("row_id", F.explode("tags").alias("name")).where("name IS NOT NULL").groupBy("name").agg(F.count("*").alias("count"), F.min("row_id").alias("first_row"))
 
 
-def tag_index(meta: DataFrame) -> DataFrame:
-    """(name, count, ids) for export; a tag's ids follow the rows."""
+def tag_index(meta: DataFrame, rows: int = 4096) -> DataFrame:
+    """(name, block, count, ids) for export: a tag's identifiers by blocks of ``rows`` row numbers, as a tag may stand in nearly all rows."""
     return (
         meta.select("row_id", "id", F.explode("tags").alias("name"))
         .where("name IS NOT NULL")
-        .groupBy("name")
+        .groupBy("name", F.floor(F.col("row_id") / rows).alias("block"))
         .agg(F.count("*").alias("count"), F.transform(F.array_sort(F.collect_list(F.struct("row_id", "id"))), lambda x: x["id"]).alias("ids"))
     )
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.runtime import materialize
+
 
 def best_ranks(scores: DataFrame, relevant: DataFrame) -> DataFrame:
     """(query_id, rank): how many documents score strictly higher than the best relevant one; null without a score.
@@ -64,10 +66,11 @@ def floor_percentiles(df: DataFrame, value: str, at: list[float]) -> DataFrame:
 
 
 def _ranked(df: DataFrame, value: str) -> DataFrame:
-    """(value, place): equal values are counted first, so one ordered pass goes over distinct values only."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.count("*").alias("c"))
-    upto = counts.withColumn("end", F.sum("c").over(Window.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)))
-    return upto.select("value", F.explode(F.sequence(F.col("end") - F.col("c"), F.col("end") - 1)).alias("place"))
+    """(value, place): rows are range-partitioned once; each part is numbered by itself, from where the parts before it end."""
+    parts = materialize(df.where(F.col(value).isNotNull()).select(F.col(value).alias("value")).repartitionByRange("value").withColumn("part", F.spark_partition_id()))
+    sizes = parts.groupBy("part").agg(F.count("*").alias("c"))
+    before = sizes.withColumn("from", F.coalesce(F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row for each part
+    return parts.join(F.broadcast(before), "part").select("value", (F.col("from") + F.row_number().over(Window.partitionBy("part").orderBy("value")) - 1).alias("place"))
 
 
 def propose_gate(probes: DataFrame, relevant: DataFrame) -> DataFrame:

@@ -81,7 +81,7 @@ def tag_counts(spark, d):
 
 
 def tag_index(spark, d):
-    return keyword.tag_index(_meta(spark, d)).select("name", "count", F.array_join("ids", ",").alias("ids"))
+    return keyword.tag_index(_meta(spark, d)).withColumn("ids", F.array_join("ids", ","))
 
 
 def tag_match(spark, d):
@@ -231,10 +231,7 @@ def mrr_recall(spark, d):
 
 
 def _ranks(e):
-    scores = graph.block_top_k(_asked(e), e, "id", "embedding", 1 << 30, exclude_self=True).select(F.col("query").alias("query_id"), F.col("id").alias("row_id"), F.round("score", 5).alias("score"))
-    asked = _asked(e).select(F.col("id").alias("query_id"), F.col("label").alias("l"))
-    relevant = asked.join(e.select(F.col("id").alias("row_id"), F.col("label").alias("l")), "l").where("query_id != row_id").select("query_id", "row_id")
-    return metrics.best_ranks(scores, relevant)
+    return graph.label_ranks(_asked(e), e, "id", "embedding", "label")
 
 
 def bootstrap_ci(spark, d):
@@ -351,9 +348,8 @@ def layout(spark, d):
 
 def eval_items(spark, d):
     """Each source's candidates as an evaluation item of that source."""
-    pairs = _read(spark, d, "related").where("src != id").select("src", "id").distinct()
-    items = pairs.groupBy("src").agg(F.collect_list("id").alias("relevant")).select(F.col("src").alias("query_id"), F.col("src").alias("text"), "relevant")
-    return assets.relevant_rows(items, _meta(spark, d)).select("query_id", F.size("rows").alias("n"), F.array_min("rows").alias("first_row"), F.array_max("rows").alias("last_row"))
+    pairs = _read(spark, d, "related").where("src != id").select(F.col("src").alias("query_id"), "id").distinct()
+    return assets.relevant_pairs(pairs, _meta(spark, d)).groupBy("query_id").agg(F.count("*").alias("n"), F.min("row_id").alias("first_row"), F.max("row_id").alias("last_row"))
 
 
 def slot_coverage(spark, d):

@@ -169,7 +169,7 @@ full_ AS (SELECT query_id, interp, n, avg(score) AS quality, bool_or({swap}) AS
 one AS (SELECT f.*, phrase, whole, raw, array_to_string(terms, ' ') AS corrected FROM full_ f JOIN p USING (query_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY quality DESC, abs(length(array_to_string(terms, '')) - length(whole)), n, interp) = 1)
 SELECT query_id, corrected FROM one WHERE corrected <> phrase AND (replaced OR (array_to_string(terms, '') = whole AND len(terms) < len(raw)))""",
         "tag_counts": f"WITH {_A} SELECT name, count(*) AS count, min(row_id) AS first_row FROM (SELECT row_id, unnest(tags) AS name FROM a) WHERE name IS NOT NULL GROUP BY name",
-        "tag_index": f"WITH {_A} SELECT name, count(*) AS count, string_agg(id, ',' ORDER BY row_id, id) AS ids FROM (SELECT row_id, id, unnest(tags) AS name FROM a) WHERE name IS NOT NULL GROUP BY name",
+        "tag_index": f"WITH {_A} SELECT name, row_id // 4096 AS block, count(*) AS count, string_agg(id, ',' ORDER BY row_id, id) AS ids FROM (SELECT row_id, id, unnest(tags) AS name FROM a) WHERE name IS NOT NULL GROUP BY name, row_id // 4096",
         "tag_match": f"""WITH {_A}, {_QS}, g AS (SELECT name, count(*) AS count, min(row_id) AS first_row FROM (SELECT row_id, unnest(tags) AS name FROM a) WHERE name IS NOT NULL GROUP BY name),
 w AS (SELECT DISTINCT query_id, unnest(raw) AS term FROM q), m AS (SELECT query_id, name, count, first_row, max({score('term', 'lower(name)')}) AS score FROM w, g GROUP BY ALL)
 SELECT query_id, name, count, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, count DESC, first_row, name) AS rank FROM m WHERE score >= 0.65) WHERE rank <= 3""",
@@ -227,6 +227,6 @@ w AS (SELECT row_id, list_transform({words('text')}, lambda w: {strip('w')}) AS
 SELECT row_id AS query_id, row_id, (length(whole) >= 2 AND contains(tj, whole)) OR (len(nouns) > 0 AND len(list_filter(nouns, lambda x: list_contains(tt, x) OR contains(tj, x))) / len(nouns) >= 0.6) AS covered FROM w""",
         "top10_agreement": f"WITH k0 AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, list_max(list_transform(embedding::DOUBLE[], lambda x: abs(x))) / 127 AS m FROM embeddings), k AS (SELECT id, v, {back} AS w FROM k0), {ten('x', 'v')}, {ten('y', 'w')}, g AS (SELECT q, count(*) FILTER ((q, id) IN (SELECT (q, id) FROM y)) / 10 AS s FROM x GROUP BY q) SELECT round(avg(s), 1) AS agreement, count(*) AS n FROM g",
         "beam_bfs": _beam(),
-        "eval_items": f"WITH {_A} SELECT src AS query_id, count(*)::INT AS n, min(row_id) AS first_row, max(row_id) AS last_row FROM (SELECT DISTINCT src, id FROM related WHERE src <> id) JOIN (SELECT id, row_id FROM a) USING (id) GROUP BY src",
+        "eval_items": f"WITH {_A} SELECT src AS query_id, count(*) AS n, min(row_id) AS first_row, max(row_id) AS last_row FROM (SELECT DISTINCT src, id FROM related WHERE src <> id) JOIN (SELECT id, row_id FROM a) USING (id) GROUP BY src",
         "related_articles": f"SELECT src, id, score, rank FROM (SELECT src, id, score, row_number() OVER (PARTITION BY src ORDER BY score DESC, id) AS rank FROM ({_beam()})) WHERE rank <= 10",
     }

@@ -78,9 +78,14 @@ def read_probes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", "array<string>")).alias("query_id", "text")).select(F.col("query_id").cast("long").alias("query_id"), "text")
 
 
+def relevant_pairs(pairs: DataFrame, meta: DataFrame) -> DataFrame:
+    """(query_id, ..., row_id) of pairs (query_id, ..., id); identifiers that the index does not have go."""
+    return pairs.join(meta.select("id", "row_id"), "id").drop("id")
+
+
 def relevant_rows(items: DataFrame, meta: DataFrame) -> DataFrame:
     """(query_id, text, rows) of evaluation items: relevant identifiers as row numbers; unknown ones go, and items without any."""
-    known = items.select("query_id", "text", F.explode("relevant").alias("id")).join(meta.select("id", "row_id"), "id")
+    known = relevant_pairs(items.select("query_id", "text", F.explode("relevant").alias("id")), meta)
     return known.groupBy("query_id", "text").agg(F.array_sort(F.collect_set("row_id")).alias("rows"))  # as many as an item lists
 
 
