@@ -18,6 +18,18 @@ from quern.functions import hangul
 BLANK = r"(?U)\s+"
 HANGUL = "[가-힣]"
 
+# The patterns of the text forms and what takes their place, in their order.
+MD_IMAGE, MD_LINK, TAG = r"!\[[^\]]*\]\([^)]*\)", r"\[([^\]]*)\]\([^)]*\)", "<[^>]+>"
+MD_LINE, MD_MARK = r"(?Um)^[>#*\-\s|]+", "[*_`~]{1,3}"
+PARAGRAPH = r"(?:\r?\n){2,}"
+BLOCK_END, REFERENCE = r"(?i)</(p|div|li|h\d)>|<br\s*/?>", "(?i)&[a-z#0-9]+;"
+SQUARE, ROUND, TITLE_QUOTES = r"\[[^\]]*\]", r"\([^)]*\)", "[<>『』\"“”]"
+TITLE_SIGNS = "\\[[^\\]]*\\]|\\([^)]*\\)|[·:|,ㅣ?!'\"“”‘’]"
+SENTENCE_SIGNS = "[.!?\\n,;:·…\"“”'‘’()\\[\\]]"
+BODY_CHARACTERS, SEGMENT_LENGTHS = 8000, (8, 40)
+EPOCH = "1970-01-01"
+FNV_START, FNV_PRIME = 2166136261, 16777619
+
 
 def tidy(c: Column) -> Column:
     """Runs of blanks as one space, none at the ends."""
@@ -37,24 +49,22 @@ def _chain(c: Column, *steps: tuple[str, str]) -> Column:
 
 def clean_markdown(c: Column) -> Column:
     """Images out, links to their text, tags out, line decorations and emphasis marks out, blanks tidied, in this order."""
-    return tidy(_chain(c, (r"!\[[^\]]*\]\([^)]*\)", " "), (r"\[([^\]]*)\]\([^)]*\)", "$1"), ("<[^>]+>", " "), (r"(?Um)^[>#*\-\s|]+", ""), ("[*_`~]{1,3}", "")))
+    return tidy(_chain(c, (MD_IMAGE, " "), (MD_LINK, "$1"), (TAG, " "), (MD_LINE, ""), (MD_MARK, "")))
 
 
 def paragraphs(c: Column) -> Column:
     """Cleaned paragraphs, split at two or more line ends; empty ones left out."""
-    return F.filter(F.transform(F.split(c, r"(?:\r?\n){2,}"), clean_markdown), lambda p: p != "")
+    return F.filter(F.transform(F.split(c, PARAGRAPH), clean_markdown), lambda p: p != "")
 
 
-def body_text(c: Column, most: int = 8000) -> Column:
+def body_text(c: Column, most: int = BODY_CHARACTERS) -> Column:
     """Plain body: block ends become line ends, other tags and references spaces; the first ``most`` characters."""
-    return F.substring(
-        _chain(c, (r"!\[[^\]]*\]\([^)]*\)", " "), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"(?i)</(p|div|li|h\d)>|<br\s*/?>", "\n"), ("<[^>]+>", " "), ("(?i)&[a-z#0-9]+;", " ")), 1, most
-    )
+    return F.substring(_chain(c, (MD_IMAGE, " "), (MD_LINK, "$1"), (BLOCK_END, "\n"), (TAG, " "), (REFERENCE, " ")), 1, most)
 
 
 def clean_title(c: Column, quotes: bool = True) -> Column:
     """Without bracketed parts and, unless told otherwise, quote signs."""
-    return tidy(_chain(c, (r"\[[^\]]*\]", " "), (r"\([^)]*\)", " "), *([("[<>『』\"“”]", " ")] if quotes else [])))
+    return tidy(_chain(c, (SQUARE, " "), (ROUND, " "), *([(TITLE_QUOTES, " ")] if quotes else [])))
 
 
 def has_hangul(c: Column) -> Column:
@@ -170,12 +180,12 @@ def fnv1a32(c: Column) -> Column:
     """FNV-1a over UTF-16 code units, as a non-negative long."""
     units = F.transform(F.split(F.hex(F.encode(c, "UTF-16BE")), "(?<=\\G.{4})"), lambda h: F.conv(h, 16, 10).cast("long"))
     units = F.filter(units, lambda u: u.isNotNull())
-    return F.aggregate(units, F.lit(2166136261), lambda h, u: (h.bitwiseXOR(u) * 16777619).bitwiseAND(F.lit(4294967295)))
+    return F.aggregate(units, F.lit(FNV_START), lambda h, u: (h.bitwiseXOR(u) * FNV_PRIME).bitwiseAND(F.lit(4294967295)))
 
 
 def created_date(c: Column) -> Column:
     """The first ten characters; the epoch for null or empty."""
-    return F.substring(F.coalesce(F.when(c != "", c), F.lit("1970-01-01")), 1, 10)
+    return F.substring(F.coalesce(F.when(c != "", c), F.lit(EPOCH)), 1, 10)
 
 
 @F.pandas_udf(T.StringType())
@@ -185,15 +195,15 @@ def html_unescape(s: pd.Series) -> pd.Series:
 
 def title_keywords(c: Column, n: int = 2) -> Column:
     """The ``n`` longest words with Hangul of two characters or more, earlier ones first among equals."""
-    w = F.filter(F.split(F.regexp_replace(c, "\\[[^\\]]*\\]|\\([^)]*\\)|[·:|,ㅣ?!'\"“”‘’]", " "), BLANK), lambda t: (F.length(t) >= 2) & has_hangul(t))
+    w = F.filter(F.split(F.regexp_replace(c, TITLE_SIGNS, " "), BLANK), lambda t: (F.length(t) >= 2) & has_hangul(t))
     placed = F.array_sort(F.transform(w, lambda t, i: F.struct((-F.length(t)).alias("n"), i.alias("i"), t.alias("t"))))
     return F.transform(F.slice(placed, 1, n), lambda x: x["t"])
 
 
 def segments(c: Column) -> Column:
     """Pieces between sentence signs of 8 to 40 characters with two Hangul in a row; repeats once."""
-    parts = F.transform(F.split(c, "[.!?\\n,;:·…\"“”'‘’()\\[\\]]"), tidy)
-    return F.array_distinct(F.filter(parts, lambda s: F.length(s).between(8, 40) & s.rlike("[가-힣]{2}")))
+    parts = F.transform(F.split(c, SENTENCE_SIGNS), tidy)
+    return F.array_distinct(F.filter(parts, lambda s: F.length(s).between(*SEGMENT_LENGTHS) & s.rlike("[가-힣]{2}")))
 
 
 def inject_typo(c: Column, seed: Column) -> Column:

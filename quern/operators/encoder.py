@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quern.functions import text as X
 from quern.operators.graph import block_top_k
 
+# Slots of a query, and what a part of a noun must have to stand for it.
 MAX_SLOTS, FALLBACK_LENGTH, FALLBACK_SHARE = 16, 3, 0.5
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions import text as X
 from quern.operators import keyword
 
+# The floors of the relevance gate.
 GATE = {"exact": 0.3, "fallback_only": 0.635}
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quern.functions import text as X
 from quern.functions.vectors import mean_pool
 
+# Characters of a chunk, where a long one is cut, and the least of a last one.
 CHUNK, HARD, LEAST = 550, 800, 50
 
 

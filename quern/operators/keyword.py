@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quern.functions import text as X
 from quern.functions.vectors import top_k
 
+# The score of a literal title hit, and how many results come out.
 LITERAL = 1.5
 K = 20
 

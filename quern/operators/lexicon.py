@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as X
 
+# Hash shards of the lexicon, and the bytes of a pack.
 SHARDS, PACK_BYTES = 256, 4 << 20
 
 
