@@ -145,7 +145,7 @@ def _beam() -> str:
         out.append(f"s{d} AS (SELECT n.src, n.id, pr.sim * {0.9**d!r} AS score, {d} AS level FROM n{d} n JOIN pr ON pr.a = n.src AND pr.b = n.id)")
         out.append(f"f{d} AS (SELECT src, id FROM s{d} QUALIFY row_number() OVER (PARTITION BY src ORDER BY round(score, 6) DESC, id) <= 16)")
         front, seen = f"f{d}", seen + f" UNION ALL SELECT src, id FROM n{d}"
-    return "WITH " + ", ".join(out) + " SELECT src, id, round(score, 4) AS score, level FROM (" + " UNION ALL ".join(f"SELECT * FROM s{d}" for d in range(4)) + ")"
+    return "WITH " + ", ".join(out) + " SELECT src, id, round(score, 4) + 0.0::DOUBLE AS score, level FROM (" + " UNION ALL ".join(f"SELECT * FROM s{d}" for d in range(4)) + ")"
 
 
 def sql() -> dict[str, str]:
@@ -190,7 +190,7 @@ SELECT train_id, eval_id, round(c / (len(l.x) + len(r.x) - c), 6) AS jaccard FRO
         "dequantize_error": "WITH s AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, list_max(list_transform(embedding::DOUBLE[], lambda x: abs(x))) / 127 AS scale FROM embeddings) SELECT id, round(list_max(list_transform(v, lambda x: abs(x - round_even(x / scale, 0) * scale))), 4)::FLOAT AS most FROM s",
         "cosine_topk": f"WITH {_E}, {_SIM} SELECT query, id, round(score, 4) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 5) DESC, id) AS rank FROM s) WHERE rank <= 10",
         "knn_edges": f"WITH {_E}, s AS (SELECT a.id AS a, b.id AS b, array_inner_product(a.v, b.v) AS score FROM e a JOIN e b ON a.id <> b.id), t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(score, 5) DESC, b) <= 10) SELECT least(a, b) AS src, greatest(a, b) AS dst, round(round(max(score), 4), 3) AS weight FROM t WHERE score >= 0.3 GROUP BY 1, 2",
-        "centroid_pool": "WITH x AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS \"at\" FROM embeddings), m AS (SELECT label, \"at\", avg(x) AS x FROM x GROUP BY 1, 2) SELECT label, \"at\", round(x / sqrt(sum(x * x) OVER (PARTITION BY label)), 5) AS x FROM m",
+        "centroid_pool": "WITH x AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS \"at\" FROM embeddings), m AS (SELECT label, \"at\", avg(x) AS x FROM x GROUP BY 1, 2) SELECT label, \"at\", round(x / sqrt(sum(x * x) OVER (PARTITION BY label)), 5) + 0.0::DOUBLE AS x FROM m",
         "attribute_edges": _G + "SELECT * FROM edges",
         "graph_nodes": _G + "SELECT * FROM nodes",
         "link_targets": _G + "SELECT target IS NOT NULL AS resolved, count(*) AS n FROM tgt GROUP BY 1",
