@@ -185,7 +185,8 @@ def nearest(
                 i, j = np.nonzero(far <= (1 + spread) * far[:, :1] + 1e-6)
                 yield pa.RecordBatch.from_arrays([pa.array(at[i, j].astype(np.int32)), part.column(0).take(pa.array(i)), part.column(1).take(pa.array(i))], names=["list", "row", "vec"])
 
-    members = reps.mapInArrow(placed, f"list int, row {kind}, vec binary")
+    # Four lists a task, however many there are: a task's share does not grow with the table.
+    members = reps.mapInArrow(placed, f"list int, row {kind}, vec binary").repartition(max(1, lists // 4), "list")
 
     def compare(table: pa.Table) -> pa.Table:
         rows, vs = table.column(1).to_numpy(), _matrix(table.column(2), dim)
