@@ -210,7 +210,7 @@ def find_nodes(spark, d):
 def beam_bfs(spark, d):
     e = _embeddings(spark, d)
     edges = graph.knn_edges(graph.self_top_k(e, "id", "embedding", 10), 0.2)
-    return graph.beam_search(_asked(e), graph.adjacency(edges), e.select("id", F.col("embedding").alias("vector")), beam=16).withColumn("score", F.round("score", 4))
+    return graph.beam_search(_asked(e), graph.adjacency(edges), e.select("id", F.col("embedding").alias("vector"))).withColumn("score", F.round("score", 4))
 
 
 def related_articles(spark, d):

@@ -83,6 +83,28 @@ def test_beam_search_equals_a_loop(spark):
     assert len(top) == 6 and max(r["rank"] for r in top) == 3
 
 
+def test_registered_beam_search_keeps_128(spark, data):
+    from quern.plans import catalog
+
+    e = catalog._embeddings(spark, data)
+    near = {}
+    for r in graph.adjacency(graph.knn_edges(graph.self_top_k(e, "id", "embedding", 10), 0.2)).collect():
+        near.setdefault(r.src, set()).add(r.dst)
+    x = {r.id: np.array(r.embedding, np.float64) for r in e.collect()}
+    want = {}
+    for src in (i for i in x if i % 50 == 0):
+        seen, front = {src}, [src]
+        for d in range(4):
+            new = {v for u in front for v in near.get(u, ())} - seen
+            seen |= new
+            score = {v: float(x[src] @ x[v]) * 0.9**d for v in new}
+            want |= {(src, v): (d, score[v]) for v in new}
+            front = sorted(new, key=lambda v: (-round(score[v], 6), v))[:128]
+    got = {(r.src, r.id): (r.level, r.score) for r in catalog.beam_bfs(spark, data).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-4 for k in want)
+
+
 def test_walks_follow_edges(spark):
     adj = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0), ("b", "c", 3.0)], "src string, dst string, weight double")
     edges = {(r.src, r.dst) for r in adj.collect()}
