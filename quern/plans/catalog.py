@@ -334,12 +334,12 @@ def student_encode(spark, d):
 
 def random_walks(spark, d):
     e = _embeddings(spark, d)
-    edges = graph.adjacency(graph.knn_edges(graph.self_top_k(e, "id", "embedding", 5), 0.2))
-    return related.random_walks(edges.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "weight"), walks=2, length=12)
+    edges = graph.adjacency(graph.knn_edges(graph.self_top_k(e, "id", "embedding", 10), 0.2))
+    return related.random_walks(edges.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "weight"))
 
 
 def word2vec_graph(spark, d):
-    return related.node_embeddings(random_walks(spark, d), dim=16, window=5, epochs=1, partitions=1)
+    return related.node_embeddings(random_walks(spark, d))
 
 
 def layout(spark, d):

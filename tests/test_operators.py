@@ -117,6 +117,29 @@ def test_walks_follow_edges(spark):
     assert 25 < second.count("c") < 50  # three in four
 
 
+def test_registered_walks_and_vectors_have_full_size(spark, data):
+    from quern.plans import catalog
+
+    walks = catalog.random_walks(spark, data)
+    n, starts, short, longest = walks.agg(F.count("*"), F.countDistinct("start"), F.min(F.size("path")), F.max(F.size("path"))).first()
+    assert n == 10 * starts and short == longest == 80  # both directions of each edge: no sinks
+    assert walks.select("start", "walk").distinct().count() == n
+
+
+def test_registered_node_vectors_have_128_places(spark, data, monkeypatch):
+    from pyspark.ml import feature
+
+    from quern.plans import catalog
+
+    asked, fit = [], feature.Word2Vec.fit
+    monkeypatch.setattr(feature.Word2Vec, "fit", lambda w, df: asked.append((w.getVectorSize(), w.getWindowSize(), w.getMaxIter())) or fit(w.setMaxIter(1), df))
+    few = spark.createDataFrame([("a", 0, ["a", "b", "a"]), ("b", 0, ["b", "a", "b"])], "start string, walk int, path array<string>")
+    monkeypatch.setattr(catalog, "random_walks", lambda s, d: few)
+    rows = catalog.word2vec_graph(spark, data).collect()
+    assert {r.id for r in rows} == {"a", "b"} and all(len(r.vector) == 128 for r in rows)
+    assert asked == [(128, 10, 5)]
+
+
 def test_link_targets(spark):
     rows = [("1", "s1", "http://h.x/b/s2 http://h.x/p?uid=3 http://h.x/api/files/z http://h.x/b/s1 http://h.x/q/none http://h.x/p?uid=9"), ("2", "s2", None), ("3", None, "")]
     df = spark.createDataFrame(rows, "id string, slug string, content string")
