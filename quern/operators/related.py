@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.vectors import normalize, top_k
+from quern.functions.vectors import dot, normalize, top_k
+from quern.operators import graph
 from quern.runtime import materialize
 
 
@@ -93,47 +97,96 @@ def principal_axes(vectors: DataFrame, rank: int) -> tuple[np.ndarray, np.ndarra
     return mean, axes, values[order] / max(values.sum(), 1e-12)
 
 
-def layout(vectors: DataFrame, exact_rows: int = 2000, perplexity: float = 25.0, rounds: int = 500) -> DataFrame:
-    """(id, x, y) for drawing: t-SNE begun from the first two axes up to ``exact_rows`` nodes, beyond that the axes alone."""
+def layout(vectors: DataFrame, exact_rows: int = 500, perplexity: float = 25.0, rounds: int = 1500) -> DataFrame:
+    """(id, x, y) for drawing: t-SNE begun from the first two axes, at every size over each node's nearest ones.
+
+    Forces between all nodes are summed by pairs up to ``exact_rows`` nodes, beyond
+    that through a grid, in time that follows the nodes.  The driver holds the
+    places and 3 x ``perplexity`` neighbours a node.
+    """
+    vectors = vectors.where("vector IS NOT NULL")
     mean, axes, _ = principal_axes(vectors, 2)
-    n = vectors.count()
-    spark = vectors.sparkSession
-    if n <= exact_rows:  # bounded, so one matrix of distances fits the driver
-        rows = vectors.orderBy("id").toPandas()
-        x = np.stack(rows["vector"].to_list()).astype(np.float64)
-        y = _tsne(x, (x - mean) @ axes, perplexity, rounds)
-        y = y - y.mean(0)
-        y = np.round(y / max(np.abs(y).max(), 1e-12), 4)
-        return spark.createDataFrame(list(zip(rows["id"].tolist(), y[:, 0].tolist(), y[:, 1].tolist(), strict=True)), f"id {dict(vectors.dtypes)['id']}, x double, y double")
     at = lambda k: F.aggregate(F.zip_with("vector", F.array(*map(F.lit, axes[:, k].tolist())), lambda a, b: a * b), F.lit(float(-(mean @ axes[:, k]))), lambda s, v: s + v)
-    placed = vectors.select("id", at(0).alias("x"), at(1).alias("y"))
-    far = placed.agg(F.greatest(F.max(F.abs("x")), F.max(F.abs("y"))).alias("far"))
-    return placed.join(F.broadcast(far), F.lit(True)).select("id", F.round(F.col("x") / F.col("far"), 4).alias("x"), F.round(F.col("y") / F.col("far"), 4).alias("y"))
-
-
-def _tsne(x: np.ndarray, start: np.ndarray, perplexity: float, rounds: int) -> np.ndarray:
-    n = len(x)
-    if n < 3:
-        return start
-    d = np.maximum((x * x).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * x @ x.T, 0)
-    np.fill_diagonal(d, np.inf)
+    rows = vectors.select("id", at(0).alias("x"), at(1).alias("y")).orderBy("id").toPandas()
+    n = len(rows)
+    most = max(1, min(n - 1, int(3 * perplexity)))
+    # a product that falls with the distance: x . y - |y|^2 / 2
+    ask = vectors.select("id", F.concat("vector", F.array(F.lit(1.0))).alias("v"))
+    answer = vectors.select("id", F.concat("vector", F.array(-dot(F.col("vector"), F.col("vector")) / 2)).alias("v"))
+    near = graph._tile_top_k(ask, answer, "id", "v", most, True, 8192).select("query", "id", "score").toPandas()
+    place = pd.Index(rows["id"])
+    y = _tsne(place.get_indexer(near["query"]), place.get_indexer(near["id"]), -2 * near["score"].to_numpy(), rows[["x", "y"]].to_numpy(np.float64), perplexity, rounds, exact_rows)
+    y = y - y.mean(0)
+    y = np.round(y / max(np.abs(y).max(), 1e-12), 4)
+    return vectors.sparkSession.createDataFrame(list(zip(rows["id"].tolist(), y[:, 0].tolist(), y[:, 1].tolist(), strict=True)), f"id {dict(vectors.dtypes)['id']}, x double, y double")
+
+
+def _affinities(i: np.ndarray, d: np.ndarray, n: int, perplexity: float) -> np.ndarray:
+    """The share of each neighbour of ``i`` by squared distance ``d`` (less a constant a row), each row's bandwidth by bisection."""
+    low = np.full(n, np.inf)
+    np.minimum.at(low, i, d)
+    d = d - low[i]
     goal, beta, lo, hi = np.log(min(perplexity, (n - 1) / 3)), np.ones(n), np.zeros(n), np.full(n, np.inf)
-    for _ in range(50):  # each row's bandwidth by bisection
-        p = np.exp(-(d - d.min(1, keepdims=True)) * beta[:, None])
-        s = p.sum(1)
-        q = p / s[:, None]
-        h = -(q * np.log(np.maximum(q, 1e-300))).sum(1)
-        up = h > goal
+    for _ in range(50):
+        p = np.exp(-d * beta[i])
+        q = p / np.bincount(i, p, n)[i]
+        up = np.bincount(i, -q * np.log(np.maximum(q, 1e-300)), n) > goal
         lo, hi = np.where(up, beta, lo), np.where(up, hi, beta)
         beta = np.where(np.isinf(hi), beta * 2, (lo + hi) / 2)
-    p = (q + q.T) / (2 * n)
+    return q
+
+
+def _repulsion(y: np.ndarray) -> tuple[np.ndarray, float]:
+    """(force, sum of weights) between all pairs: the sums of w^2 (y_i - y_j) and of w = 1 / (1 + d^2)."""
+    w = 1 / (1 + (y * y).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * y @ y.T)
+    np.fill_diagonal(w, 0)
+    total = w.sum()
+    w *= w
+    return w.sum(1)[:, None] * y - w @ y, total
+
+
+@lru_cache(maxsize=2)
+def _kernels(m: int, gap: float) -> np.ndarray:
+    """The transforms of w and, three times, of w^2 over a grid of m x m nodes ``gap`` apart, for a convolution that does not wrap."""
+    d = np.minimum(np.arange(2 * m), 2 * m - np.arange(2 * m)) * gap
+    w = 1 / (1 + d[:, None] ** 2 + d[None] ** 2)
+    one, two = np.fft.rfft2(w), np.fft.rfft2(w**2)
+    return np.stack([one, two, two, two])
+
+
+def _repulsion_by_grid(y: np.ndarray) -> tuple[np.ndarray, float]:
+    """The same by cubic interpolation in boxes of at most 1 and a convolution over their nodes."""
+    low, n = y.min(0), len(y)
+    span = max((y.max(0) - low).max(), 1e-9)
+    boxes, h = (20, span / 20) if span < 20 else (10 * int(np.ceil(span / 10)), 1.0)
+    m, k = 4 * boxes, np.arange(4)
+    t = (y - low) / h
+    box = np.minimum(t.astype(np.int64), boxes - 1)
+    t, at = t - box, (k + 0.5) / 4
+    u = np.stack([np.prod([(t - at[b]) / (at[a] - at[b]) for b in k if b != a], 0) for a in k], 1)  # n, 4, 2
+    weight = (u[:, :, None, 0] * u[:, None, :, 1]).reshape(n, 16)
+    node = ((4 * box[:, 0, None] + k)[:, :, None] * m + (4 * box[:, 1, None] + k)[:, None, :]).reshape(n, 16)
+    z = y - low - span / 2
+    charge = np.stack([np.bincount(node.ravel(), (weight * q[:, None]).ravel(), m * m).reshape(m, m) for q in (np.ones(n), z[:, 0], z[:, 1])])
+    f = np.fft.rfft2(charge, (2 * m, 2 * m))
+    field = np.fft.irfft2(_kernels(m, h / 4) * f[[0, 0, 1, 2]], (2 * m, 2 * m))[:, :m, :m].reshape(4, -1)
+    total, s, sx, sy = ((field[c][node] * weight).sum(1) for c in range(4))
+    return s[:, None] * z - np.stack([sx, sy], 1), max(float(total.sum()) - n, 1e-12)
+
+
+def _tsne(i: np.ndarray, j: np.ndarray, d: np.ndarray, start: np.ndarray, perplexity: float, rounds: int, exact_rows: int) -> np.ndarray:
+    n = len(start)
+    if n < 3:
+        return start
+    p = _affinities(i, d, n, perplexity) / (2 * n)
+    i, j, p = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([p, p])
     y = start / max(start.std(), 1e-12) * 1e-4
     step, gain = np.zeros_like(y), np.ones_like(y)
     for k in range(rounds):
-        w = 1 / (1 + (y * y).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * y @ y.T)
-        np.fill_diagonal(w, 0)
-        g = ((p * (12 if k < 100 else 1) - w / w.sum()) * w)
-        g = 4 * (g.sum(1)[:, None] * y - g @ y)
+        apart = y[i] - y[j]
+        pull = p * (12 if k < 100 else 1) / (1 + (apart * apart).sum(1))
+        push, total = (_repulsion if n <= exact_rows else _repulsion_by_grid)(y)
+        g = 4 * (np.stack([np.bincount(i, pull * apart[:, a], n) for a in (0, 1)], 1) - push / total)
         gain = np.maximum(np.where(np.sign(g) == np.sign(step), gain * 0.8, gain + 0.2), 0.01)
         step = (0.5 if k < 100 else 0.8) * step - max(n / 48, 50) * gain * g
         y = y + step

@@ -343,7 +343,7 @@ def word2vec_graph(spark, d):
 
 
 def layout(spark, d):
-    return related.layout(vectors.mean_pool(_embeddings(spark, d), "label", "embedding").select(F.col("label").alias("id"), F.col("embedding").alias("vector")))
+    return related.layout(_embeddings(spark, d).select("id", F.col("embedding").alias("vector")))
 
 
 def eval_items(spark, d):

@@ -393,6 +393,33 @@ def test_layout_and_axes(spark):
         assert ((gap.argmin(1) < 20) == (np.arange(40) < 20)).mean() >= 0.8  # a point's nearest is of its own cluster
 
 
+def test_grid_forces_equal_the_sum_over_pairs():
+    y = np.random.default_rng(7).normal(size=(700, 2)) * 12
+    push, total = related._repulsion(y)
+    got, near = related._repulsion_by_grid(y)
+    assert abs(near / total - 1) < 1e-2 and np.linalg.norm(got - push) < 0.02 * np.linalg.norm(push)
+
+
+def test_layout_keeps_neighbourhoods_beyond_the_exact_size(spark):
+    rng = np.random.default_rng(8)
+    centres = np.eye(12) * 10  # two axes cannot tell 12 clusters apart
+    x = np.concatenate([rng.normal(size=(20, 12)) + c for c in centres])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>")
+    p = {r.id: (r.x, r.y) for r in related.layout(df, exact_rows=10, perplexity=8.0, rounds=300).collect()}
+    y = np.array([p[i] for i in range(240)])
+    gap = np.linalg.norm(y[:, None] - y[None], axis=2) + 9 * np.eye(240)
+    assert (gap.argmin(1) // 20 == np.arange(240) // 20).mean() > 0.95
+
+
+def test_registered_layout_places_every_row(spark, data, monkeypatch):
+    from quern.plans import catalog
+
+    real = related.layout
+    monkeypatch.setattr(related, "layout", lambda v: real(v, rounds=5))
+    got = [r.id for r in catalog.layout(spark, data).collect()]
+    assert sorted(got) == sorted(r.id for r in catalog._embeddings(spark, data).collect())
+
+
 def test_held_out_links(spark):
     edges = spark.createDataFrame([(str(i), str(i + 1)) for i in range(400)], "src string, dst string")
     kept, hidden = related.hold_out(edges)
