@@ -29,7 +29,7 @@ def without_leaks(train: DataFrame, held: DataFrame, least: float = 0.6) -> Data
     return clean.join(near_duplicates(clean, held, least).select(F.col("train_id").alias("id")).distinct(), "id", "left_anti")
 
 
-def synthesize(articles: DataFrame, windows: int = 4, pieces: int = 4, seed: int = 77) -> DataFrame:
+def synthesize(articles: DataFrame, windows: int = 40, pieces: int = 20, seed: int = 77) -> DataFrame:
     """(text, src, kind): training queries from each article: windows of 2 to 5 successive nouns, segments, title parts, tags.
 
     A text is kept if it has Hangul and 2 to 60 characters; the first of equal
@@ -38,10 +38,11 @@ def synthesize(articles: DataFrame, windows: int = 4, pieces: int = 4, seed: int
     body = articles.select("row_id", "title", "tags", X.body_text(F.col("content")).alias("body"))
     nouns = F.filter(X.extract_terms(F.concat_ws(" ", "title", X.tidy(F.col("body")))), lambda w: F.length(w) >= 2)
     draw = lambda k, n, salt: F.pmod(F.xxhash64("row_id", k, F.lit(salt), F.lit(seed)), F.greatest(n, F.lit(1)).cast("long")).cast("int")
-    w = body.select("row_id", nouns.alias("w"), F.explode(F.sequence(F.lit(0), F.lit(windows - 1))).alias("k")).where(F.size("w") > 3)
+    # the terms and segments come first, so that an article is split once, not once a draw
+    w = body.select("row_id", nouns.alias("w")).where(F.size("w") > 3).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(windows - 1))))
     length = draw(F.col("k"), F.lit(4), 1) + 2
     win = w.select(F.array_join(F.slice("w", draw(F.col("k"), F.size("w") - length, 2) + 1, length), " ").alias("text"), F.col("row_id").alias("src"), F.lit("win").alias("kind"), F.col("k"))
-    s = body.select("row_id", X.segments(F.col("body")).alias("s"), F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))).alias("k")).where(F.size("s") > 0)
+    s = body.select("row_id", X.segments(F.col("body")).alias("s")).where(F.size("s") > 0).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
     seg = s.select(F.element_at("s", draw(F.col("k"), F.size("s"), 3) + 1).alias("text"), F.col("row_id").alias("src"), F.lit("seg").alias("kind"), F.col("k"))
     title = articles.select(F.posexplode(F.split("title", "·")).alias("k", "p"), "row_id").select(X.clean_title(F.col("p")).alias("text"), F.col("row_id").alias("src"), F.lit("title").alias("kind"), "k")
     tag = articles.select(F.posexplode("tags").alias("k", "text"), "row_id").select("text", F.lit(-1).cast("long").alias("src"), F.lit("tag").alias("kind"), "k")

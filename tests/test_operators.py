@@ -420,6 +420,14 @@ def test_registered_layout_places_every_row(spark, data, monkeypatch):
     assert sorted(got) == sorted(r.id for r in catalog._embeddings(spark, data).collect())
 
 
+def test_synthesis_draws_40_windows_and_20_segments(spark):
+    words = [chr(0xAC00 + 28 * i) + chr(0xB098 + 28 * (i % 90)) for i in range(400)]
+    body = ". ".join(" ".join(words[i : i + 5]) for i in range(0, 400, 5))
+    df = spark.createDataFrame([(1, "가나 다라", ["태그"], body)], "row_id long, title string, tags array<string>, content string")
+    n = {r.kind: r["count"] for r in distill.synthesize(df).groupBy("kind").count().collect()}
+    assert 30 <= n["win"] <= 40 and 12 <= n["seg"] <= 20  # equal draws meet
+
+
 def test_held_out_links(spark):
     edges = spark.createDataFrame([(str(i), str(i + 1)) for i in range(400)], "src string, dst string")
     kept, hidden = related.hold_out(edges)
