@@ -57,9 +57,10 @@ def paragraphs(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, PARAGRAPH), clean_markdown), lambda p: p != "")
 
 
-def body_text(c: Column, most: int = BODY_CHARACTERS) -> Column:
-    """Plain body: block ends become line ends, other tags and references spaces; the first ``most`` characters."""
-    return F.substring(_chain(c, (MD_IMAGE, " "), (MD_LINK, "$1"), (BLOCK_END, "\n"), (TAG, " "), (REFERENCE, " ")), 1, most)
+def body_text(c: Column, most: int | None = None) -> Column:
+    """Plain body: block ends become line ends, other tags and references spaces; all of it, or the first ``most`` characters."""
+    text = _chain(c, (MD_IMAGE, " "), (MD_LINK, "$1"), (BLOCK_END, "\n"), (TAG, " "), (REFERENCE, " "))
+    return text if most is None else F.substring(text, 1, most)
 
 
 def clean_title(c: Column, quotes: bool = True) -> Column:

@@ -428,6 +428,14 @@ def test_synthesis_draws_40_windows_and_20_segments(spark):
     assert 30 <= n["win"] <= 40 and 12 <= n["seg"] <= 20  # equal draws meet
 
 
+def test_body_text_is_whole(spark):
+    from quern.functions import text as X
+
+    df = spark.createDataFrame([("가" * 9000 + "<p>끝",)], "c string")
+    whole, part = df.select(X.body_text(F.col("c")), X.body_text(F.col("c"), 8000)).first()
+    assert whole == "가" * 9000 + " 끝" and part == "가" * 8000
+
+
 def test_held_out_links(spark):
     edges = spark.createDataFrame([(str(i), str(i + 1)) for i in range(400)], "src string, dst string")
     kept, hidden = related.hold_out(edges)
