@@ -143,7 +143,7 @@ def _beam() -> str:
     for d in range(4):
         out.append(f"n{d} AS (SELECT DISTINCT x.src, adj.dst AS id FROM {front} x JOIN adj ON adj.src = x.id WHERE NOT EXISTS (SELECT 1 FROM ({seen}) z WHERE z.src = x.src AND z.id = adj.dst))")
         out.append(f"s{d} AS (SELECT n.src, n.id, pr.sim * {0.9**d!r} AS score, {d} AS level FROM n{d} n JOIN pr ON pr.a = n.src AND pr.b = n.id)")
-        out.append(f"f{d} AS (SELECT src, id FROM s{d} QUALIFY row_number() OVER (PARTITION BY src ORDER BY round(score, 6) DESC, id) <= 16)")
+        out.append(f"f{d} AS (SELECT src, id FROM s{d} QUALIFY row_number() OVER (PARTITION BY src ORDER BY round(score, 6) DESC, id) <= 128)")
         front, seen = f"f{d}", seen + f" UNION ALL SELECT src, id FROM n{d}"
     return "WITH " + ", ".join(out) + " SELECT src, id, round(score, 4) + 0.0::DOUBLE AS score, level FROM (" + " UNION ALL ".join(f"SELECT * FROM s{d}" for d in range(4)) + ")"
 
@@ -176,7 +176,7 @@ SELECT query_id, name, count, score, rank FROM (SELECT *, row_number() OVER (PAR
         "doc_meta": f"""WITH {_A} SELECT row_id, id, coalesce(nullif(slug, ''), id) AS slug, title, board.slug AS board, board.name AS board_name, category, array_to_string(list_transform(coalesce(tags, []), lambda t: coalesce(t, '-')), '|') AS tags,
 array_to_string(list_transform(coalesce(contributors, []), lambda c: coalesce(c.name, '') || '/' || coalesce(c.role, 'author')), '|') AS authors, left(coalesce(nullif(created, ''), '1970-01-01'), 10) AS created, nullif(thumbnail, '') AS thumbnail, nullif(preview, '') AS preview, coalesce(views, 0) AS views FROM a""",
         "clean_markdown": f"SELECT row_id, {tidy(chain('content', *_MD, ('<[^>]+>', ' '), (f'(?m)^[>#*{chr(92)}-|{_WS_IN}]+', ''), ('[*_`~]{1,3}', '')))} AS text FROM articles",
-        "strip_html_body": f"SELECT row_id, left({_BODY}, 8000) AS text FROM (SELECT row_id, coalesce(content, '') AS content FROM articles)",
+        "strip_html_body": f"SELECT row_id, {_BODY} AS text FROM (SELECT row_id, coalesce(content, '') AS content FROM articles)",
         "clean_titles": f"SELECT row_id, {tidy(chain('title', (r'\[[^\]]*\]', ' '), (r'\([^)]*\)', ' '), ('[<>『』\"“”]', ' ')))} AS text FROM articles",
         "title_keywords": f"SELECT row_id, array_to_string(k, ' ') AS words FROM {top2 % 'articles'}",
         "vocab_df_idf": f"""WITH {_A}, x AS (SELECT id, unnest(list_distinct(list_transform({words("concat_ws(' ', title, content)")}, lambda w: {strip('w')}))) AS term FROM a), n AS (SELECT count(*) AS n FROM a),
