@@ -76,11 +76,18 @@ def pack(sizes: np.ndarray, capacity: int, linear: float = 1.0, quadratic: float
     return where, offset
 
 
-def containers(items: DataFrame, key: str, size: str, capacity: int = 2048, linear: float = 1.0, quadratic: float | None = None, shard_rows: int = 100_000) -> DataFrame:
+def loads(packed: DataFrame, linear: float = 1.0, quadratic: float = 1.0 / 2048) -> DataFrame:
+    """(container, n_items, n_tokens, cost) of a packing: what it fills, and the attention cost that the method balances."""
+    n = F.col("n_tokens")
+    return packed.groupBy("container").agg(F.count("*").alias("n_items"), F.sum(n).alias("n_tokens"), F.sum(linear * n + quadratic * n * n).alias("cost"))
+
+
+def containers(items: DataFrame, key: str, size: str, capacity: int = 2048, linear: float = 1.0, quadratic: float | None = None, shard_rows: int = 100_000, slack: int | None = None) -> DataFrame:
     """(key, piece, n_tokens, container, place, offset) of every item of a positive size.
 
     ``container`` names the shard and the container in it; ``place`` counts the
     items of a container from 0, ``offset`` its tokens before the item.
+    ``slack`` is that of ``pack``: ``capacity`` is the pure rule of lowest cost.
     """
     quadratic = 1.0 / capacity if quadratic is None else quadratic
     items = items.select(F.col(key).alias("key"), F.col(size).cast("long").alias("size")).where("size > 0 AND key IS NOT NULL")
@@ -97,7 +104,7 @@ def containers(items: DataFrame, key: str, size: str, capacity: int = 2048, line
         sizes = np.where(piece < full[owner], capacity, rest[owner])
         keys = pdf["key"].to_numpy()[owner]
         order = np.lexsort((piece, keys, -sizes))
-        where, offset = pack(sizes[order], capacity, linear, quadratic)
+        where, offset = pack(sizes[order], capacity, linear, quadratic, slack)
         out = pd.DataFrame({key: keys[order], "piece": piece[order], "n_tokens": sizes[order], "container": where, "offset": offset})
         out["place"] = out.sort_values(["container", "offset"]).groupby("container").cumcount()
         out["container"] = out["container"] * shards + int(pdf["shard"].iloc[0])
