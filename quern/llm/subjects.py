@@ -89,6 +89,17 @@ def slices(batches, rows: int = ROWS):
             yield b.slice(a, rows)
 
 
+def cuts(ends: np.ndarray, most: int, cells: int = 4_000_000):
+    """(first, last + 1) of runs of rows whose number times that of their terms, by ``ends`` and ``most`` at the most, is up to ``cells``; a row at least."""
+    i = 0
+    while i < len(ends) - 1:
+        j = i + 1
+        while j < len(ends) - 1 and (j + 1 - i) * min(most, ends[j + 1] - ends[i]) <= cells:
+            j += 1
+        yield i, j
+        i = j
+
+
 def _flat(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """(terms of all rows, the row of each) of a batch whose last column is ``terms``."""
     col = b.column(b.num_columns - 1)
@@ -109,27 +120,36 @@ def document_counts(table: DataFrame) -> DataFrame:
     return table.select("terms").mapInArrow(run, "term int, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
 
 
+BLOCK = 4096  # rows of a matrix that one part of it holds
+
+
+def _parts(total: np.ndarray):
+    """A matrix as rows (block, part) of at most BLOCK of its rows each."""
+    for a in range(0, len(total), BLOCK):
+        yield pa.RecordBatch.from_arrays([pa.array([a // BLOCK], pa.int32()), pa.array([total[a : a + BLOCK].astype(np.float64).tobytes()], pa.binary())], names=["block", "part"])
+
+
 def tree_sum(parts: DataFrame, fan_in: int = 16) -> np.ndarray | None:
-    """The sum of the float64 arrays in the binary column of ``parts``, one row a partition, added up a tree."""
+    """The sum of matrices given in blocks (block, part), one a partition, added up a tree whose root is what the driver gets."""
 
     def add(batches):
-        total = None
+        total: dict[int, np.ndarray] = {}
         for b in batches:
-            for x in b.column(0):
+            for k, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 x = np.frombuffer(x.as_buffer(), np.float64)
-                total = x.copy() if total is None else total + x
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
+                if k in total:
+                    total[k] += x
+                else:
+                    total[k] = x.copy()
+        for k, x in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["block", "part"])
 
     n = parts.rdd.getNumPartitions()
-    while n > fan_in:
+    while n > 1:
         n = -(-n // fan_in)
-        parts = parts.repartition(n).mapInArrow(add, "part binary")
-    total = None
-    for row in parts.collect():  # ``fan_in`` rows at the most
-        x = np.frombuffer(row[0], np.float64)
-        total = x.copy() if total is None else total + x
-    return total
+        parts = parts.repartition(n).mapInArrow(add, "block int, part binary")
+    rows = sorted((k, x) for k, x in parts.collect())  # each block once
+    return np.concatenate([np.frombuffer(x, np.float64) for _, x in rows]) if rows else None
 
 
 class Space:
@@ -176,7 +196,7 @@ class Space:
 def fit(table: DataFrame, seeds: list[list[str]], least_df: float = 0.0005, most_df: float = 0.6, rank: int = 48, passes: int = 2, rounds: int = 2, similar: float = 0.6) -> tuple[Space, DataFrame] | None:
     """The space of a term table, and the table with places for terms; ``seeds`` has the cues of each subject."""
     n = table.count()
-    counts = document_counts(table).where((F.col("df") >= max(2, min(5, n // 100), least_df * n)) & (F.col("df") <= max(2, most_df * n)))
+    counts = document_counts(table).where((F.col("df") >= max(2, least_df * n)) & (F.col("df") <= max(2, most_df * n)))
     rows = sorted((r.term, r.df) for r in counts.collect())  # bounded by ``least_df``
     if not rows:
         return None
@@ -184,7 +204,6 @@ def fit(table: DataFrame, seeds: list[list[str]], least_df: float = 0.0005, most
     space = Space(vocab, np.log((n + 1) / (df + 1)) + 1)
     size = len(vocab)
     width = min(rank + 8, size)
-    chunk = max(1, min(ROWS, 2_000_000 // size))
     key = table.columns[0]
 
     def place(batches):
@@ -204,16 +223,23 @@ def fit(table: DataFrame, seeds: list[list[str]], least_df: float = 0.0005, most
 
         def run(batches, q=q):
             total = np.zeros((size, width))
-            for b in slices(batches, chunk):
+            for b in slices(batches):
                 at, own = _flat(b)
                 own, at = own[at >= 0], at[at >= 0]
-                x = np.bincount(own * size + at, minlength=b.num_rows * size).reshape(b.num_rows, size).astype(np.float32)
-                x = np.log1p(x, out=x) * weight
-                x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-9)[:, None]
-                total += x.T @ (x @ q)
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
-
-        y = tree_sum(table.select("terms").mapInArrow(run, "part binary")).reshape(size, width)
+                ends = np.searchsorted(own, np.arange(b.num_rows + 1))
+                for i, j in cuts(ends.tolist(), size):
+                    # The columns that these rows have, not the vocabulary: work and memory follow the rows' own terms.
+                    cols, at_ = np.unique(at[ends[i] : ends[j]], return_inverse=True)
+                    k = len(cols)
+                    if not k:
+                        continue
+                    x = np.bincount((own[ends[i] : ends[j]] - i) * k + at_, minlength=(j - i) * k).reshape(j - i, k).astype(np.float32)
+                    x = np.log1p(x, out=x) * weight[cols]
+                    x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-9)[:, None]
+                    total[cols] += x.T @ (x @ q[cols])
+            yield from _parts(total)
+
+        y = tree_sum(table.select("terms").mapInArrow(run, "block int, part binary")).reshape(size, width)
         if last:
             values, turn = np.linalg.eigh(basis.T @ y)
             basis = basis @ turn[:, np.argsort(-values)]
@@ -241,9 +267,9 @@ def fit(table: DataFrame, seeds: list[list[str]], least_df: float = 0.0005, most
                 k, cos = space.nearest(v)
                 for j in np.unique(k[cos > similar]):
                     total[j] += v[(k == j) & (cos > similar)].sum(0)
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
+            yield from _parts(total)
 
-        c = tree_sum(table.select("terms").mapInArrow(refine, "part binary")).reshape(space.centroids.shape)
+        c = tree_sum(table.select("terms").mapInArrow(refine, "block int, part binary")).reshape(space.centroids.shape)
         norm = np.linalg.norm(c, axis=1, keepdims=True)
         space.centroids = np.where(norm > 0, c / np.maximum(norm, 1e-9), space.centroids)
         space.settle()

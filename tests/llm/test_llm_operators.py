@@ -322,3 +322,38 @@ def test_query_equals_sql(spark, data, name):
     df, want = queries.queries()[name](spark, data), c.sql(queries.oracle_sql()[name])
     order = [want.columns.index(x) for x in df.columns]
     assert sorted(map(tuple, df.collect())) == sorted(tuple(r[i] for i in order) for r in want.fetchall())
+
+
+def test_gram_product_by_rows_own_terms(spark):
+    """The runs of rows cover all rows once and stay within the bound; partial matrices add up whatever the tree."""
+    rng = np.random.default_rng(0)
+    ends = np.concatenate([[0], np.cumsum(rng.integers(0, 50, 300))]).tolist()
+    runs = list(subjects.cuts(ends, 30, 600))
+    assert [r[0] for r in runs] == [0] + [r[1] for r in runs[:-1]] and runs[-1][1] == 300
+    assert all(j - i == 1 or (j - i) * min(30, ends[j] - ends[i]) <= 600 for i, j in runs)
+    whole = rng.normal(size=(10_000, 3))
+
+    def part(batches):
+        for _ in batches:
+            pass
+        yield from subjects._parts(whole)
+
+    for n in (1, 3, 40):
+        got = subjects.tree_sum(spark.range(0, 100, 1, n).mapInArrow(part, "block int, part binary"))
+        assert np.allclose(got.reshape(whole.shape), n * whole)
+
+
+def test_method_of_lowest_cost(spark):
+    """The pure rule: each item in turn goes to the cheapest container that has room."""
+    rng = random.Random(5)
+    sizes = sorted((rng.randint(1, 60) for _ in range(120)), reverse=True)
+    where, _ = packing.pack(np.array(sizes), 100, 1.0, 0.01, slack=100)
+    used, cost = Counter(), Counter({b: 0.0 for b in range(packing.least_bins(np.array(sizes), 100))})
+    for n, b in zip(sizes, where.tolist()):
+        fits = [x for x in cost if used[x] + n <= 100]
+        assert not fits or cost[b] == min(cost[x] for x in fits)
+        used[b] += n
+        cost[b] += n + 0.01 * n * n
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "doc_id long, size int")
+    total = packing.loads(packing.containers(df, "doc_id", "size", 100, slack=100), 1.0, 0.01).collect()
+    assert sum(r.n_items for r in total) == 120 and max(r.n_tokens for r in total) <= 100
