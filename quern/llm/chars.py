@@ -1,10 +1,14 @@
 """Problem 1: text that looks the same, brought to one form of characters.
 
 Method: a longest-match transducer over grapheme clusters.  ``Transducer`` is
-compiled once per Python worker from rule-built tables (widths, ligatures,
-singleton decompositions, blanks, marks, invisible characters, look-alike
-letters).  Compilation checks the mapping for conflicts: one source has one
-target, no target contains a source, so one pass is final and idempotent.
+compiled once per Python worker: a table of transitions between states by class
+of character, whose accepting states are the kinds of clusters (emoji sequences,
+joined letters, words, jamo, kana with voice marks, marked characters), and a
+mapping built by rule (widths, ligatures, radicals, singleton decompositions,
+blanks, signs, invisible characters, look-alike letters).  Compilation checks the
+mapping for conflicts: one source has one target, no target contains a source, so
+one pass is final and idempotent.  The pass takes the longest cluster at each
+place and writes its target; clusters of a word are remembered within a bound.
 
 Defined results: null stays null; empty text stays empty; an array keeps its
 length, order, repeats and null elements; text without stand-ins is returned
@@ -29,10 +33,18 @@ INVISIBLE = "­͏؜ᅟᅠ឴឵᠎​‌‍‎‏‪‫‬‭‮⁠⁡⁢⁣⁤
 # Letters of another script and the Latin letter of the same look.
 CYRILLIC = dict(zip("аеорсухіѕјһԁԛԝѵӏАВЕКМНОРСТХІЅЈУԌԜԚҮЗ", "aeopcyxisjhdqwvlABEKMHOPCTXISJYGWQY3", strict=True))
 GREEK = dict(zip("οϲϳΑΒΕΖΗΙΚΜΝΟΡΤΥΧν", "ocjABEZHIKMNOPTYXv", strict=True))
-# Look-alikes only beside Latin letters: alone they are words of their script.
-LOOSE = dict(zip("αιρυκγ", "aipuky", strict=True))
+ARMENIAN = dict(zip("օհոսցզՍՏՕԼ", "ohnugqUSOL", strict=True))
+CHEROKEE = dict(zip("ᎠᎡᎢᎫᎬᎳᎷᎻᏀᏃᏔᏙᏚᏞᏟᏢᏦᏴ", "DRTJEWMHGZWVSLCPKB", strict=True))
+LISU = dict(zip("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU", strict=True))
+NUMERALS = dict(zip("ⅰⅴⅹⅼⅽⅾⅿⅠⅤⅩⅬⅭⅮⅯ", "ivxlcdmIVXLCDM", strict=True))
+# Look-alikes only beside Latin letters: alone they are words of their script, or numerals.
+LOOSE = dict(zip("αιρυκγ", "aipuky", strict=True)) | ARMENIAN | CHEROKEE | LISU | NUMERALS
+# Forms of radicals without a rule, and the ideograph of the same look; signs and the plain sign of the same look.
+RADICALS = dict(zip("⺎⺏⺐⺒⺓⺕⺘⺙⺠⺡⺢⺣⺤⺨⺩⺪⺬⺭⺯⺰⺲⺶⺹⺺⺾⻁⻂⻃⻄⻅⻆⻈⻉⻋⻌⻏⻐⻑⻒⻓⻔⻘⻙⻚⻛⻜⻝⻟⻠⻢⻣⻤⻥⻦⻧⻨⻩⻪⻫⻬⻭⻮⻯⻰⻲", "兀尣尢巳幺彐扌攵民氵氺灬爫犭王疋示礻糹纟罒羊耂肀艹虎衤覀西见角讠贝车辶阝钅長镸长门青韦页风飞食飠饣马骨鬼鱼鸟卤麦黄黾斉齐歯齿竜龙亀", strict=True))
+SIGNS = dict(zip("∶꞉․∕⧸∣∗‚", "::.//|*,", strict=True))
 CYRILLIC.pop("З")
 
+VOICE = "\uff9e\uff9f"  # half-width marks of voiced kana
 _EMOJI = "\u203c\u2049\u2122\u2139\u2190-\u21ff\u2300-\u23ff\u2600-\u27bf\u2b00-\u2bff\U0001f000-\U0001faff"
 _MARKS = "̀-ͯ᪰-᫿᷀-᷿⃐-⃜⃡-゙゚⃯︠-︯"
 
@@ -55,6 +67,12 @@ def _rules() -> dict[str, str]:
         put(chr(c), {"￣": "¯"}.get(chr(c)) or ud.normalize("NFKC", chr(c)))
     for c in (*range(0xFF61, 0xFF65), *range(0xFF66, 0xFF9E)):
         put(chr(c), ud.normalize("NFKC", chr(c)))
+    for a, b in zip(VOICE, "\u309b\u309c", strict=True):
+        put(a, b)  # by itself; behind a kana it composes
+    for c in (*range(0x2F00, 0x2FD6), 0x2E9F, 0x2EF3):
+        put(chr(c), ud.normalize("NFKC", chr(c)))
+    for a, b in (*RADICALS.items(), *SIGNS.items()):
+        put(a, b)
     for c in range(0xFFA1, 0xFFDD):
         if (name := ud.name(chr(c), "")).startswith("HALFWIDTH HANGUL LETTER"):
             put(chr(c), ud.lookup(name.removeprefix("HALFWIDTH ")))
@@ -97,6 +115,43 @@ def _cls(chars) -> str:
     return "".join(re.escape(chr(a)) + (f"-{re.escape(chr(b))}" if b > a else "") for a, b in runs)
 
 
+#: The transitions: from a state, by class of character, to a state.  Classes: E emoji, T skin tone, K keycap base, C keycap, V variation
+#: selector, Z joiner, W non-joiner, I other invisible, L letter, M mark, S syllable, J jamo, X letters that joiners join, A kana, D voice mark, O mapped, B other.
+_MOVES = """start E emoji, T emoji, K key, L word, S syl, J jamo, X join, A kana, O one, V one, Z one, I one, W one, D one, M copy, C copy, B base
+emoji V emoji, T emoji, Z emoji-
+emoji- E emoji, T emoji
+key V key~, C cap, Z base-, I base-, W base-, M marked
+key~ C cap, V base-, Z base-, I base-, W base-, M marked
+word L word, M word, V word-, Z word-, I word-, W word-
+word- L word, M word, V word-, Z word-, I word-, W word-
+syl J jamo, M marked, V syl-, Z syl-, I syl-, W syl-
+syl- J jamo, M marked, V syl-, Z syl-, I syl-, W syl-
+jamo J jamo, V jamo-, Z jamo-, I jamo-, W jamo-
+jamo- J jamo, V jamo-, Z jamo-, I jamo-, W jamo-
+join Z join-, W join-, M marked, V base-, I base-
+join- Z join-, W join-, X joined
+joined Z join-, W join-
+kana D voiced, M marked, V kana-, Z kana-, I kana-, W kana-
+kana- D voiced, M marked, V kana-, Z kana-, I kana-, W kana-
+base M marked, D marked, V base-, Z base-, I base-, W base-
+base- M marked, D marked, V base-, Z base-, I base-, W base-
+marked M marked, V marked-, Z marked-, I marked-, W marked-
+marked- M marked, V marked-, Z marked-, I marked-, W marked-"""
+#: What becomes of a cluster, by accepting state; states with a sign at the end do not accept.
+_ACTS = {"emoji": "copy", "cap": "copy", "copy": "copy", "key": "copy", "syl": "copy", "join": "copy", "joined": "copy", "base": "copy", "kana": "map", "one": "map", "word": "word", "jamo": "compose", "voiced": "voice", "marked": "compose"}
+
+
+class Classes(dict):
+    """Character to its class; each is worked out once."""
+
+    def __init__(self, sets: list[tuple[str, re.Pattern]]) -> None:
+        self._sets = sets
+
+    def __missing__(self, ch: str) -> str:
+        k = self[ch] = next((k for k, r in self._sets if r.match(ch)), "B")
+        return k
+
+
 class Transducer:
     """The compiled mapping; ``apply`` is one left-to-right longest-match pass."""
 
@@ -104,26 +159,23 @@ class Transducer:
         self.table = t = _closed(_rules())
         self.likes = CYRILLIC | GREEK
         every = self.likes | LOOSE
-        letter = "A-Za-zÀ-ɏͰ-ϿЀ-ԯＡ-Ｚａ-ｚﬀ-ﬆ"
-        hidden = _cls(INVISIBLE)
-        # Longest alternatives first: emoji sequences stay; words that hold a look-alike are
-        # one cluster run; conjoining jamo and marked letters compose; the rest is by character.
-        one = _cls(t)
-        self._hit = re.compile(f"[{one}{_cls(every)}ᄀ-ᇿ{_MARKS}ꥠ-ꥼힰ-ퟻ]")
+        letter = "A-Za-zÀ-ɏͰ-ϿЀ-ԯＡ-Ｚａ-ｚﬀ-ﬆ" + _cls(LOOSE)
+        voiced = [chr(c) for c in range(0x3041, 0x30FF) if len(ud.normalize("NFC", chr(c) + "\u3099")) == 1 or len(ud.normalize("NFC", chr(c) + "\u309a")) == 1]
+        half = [chr(c) for c in range(0xFF66, 0xFF9E)]
+        sets = [("T", "\U0001f3fb-\U0001f3ff"), ("K", "#*0-9"), ("C", "⃣"), ("V", "️"), ("Z", "\u200d"), ("W", "\u200c"), ("D", VOICE), ("M", _MARKS), ("I", _cls(INVISIBLE)), ("E", _EMOJI), ("L", letter), ("S", "가-힣"), ("J", "ᄀ-ᅞᅡ-ᇿ"), ("X", "؀-ۿऀ-෿က-႟"), ("A", _cls(voiced + half)), ("O", _cls(t))]
+        self._class = Classes([(k, re.compile(f"[{x}]")) for k, x in sets])
+        self._moves = {}
+        for line in _MOVES.split("\n"):
+            state, _, rest = line.partition(" ")
+            self._moves[state] = dict(x.split() for x in rest.split(", "))
+        self._hit = re.compile(f"[{_cls(t)}{_cls(every)}ᄀ-ᇿ{_MARKS}ꥠ-ꥼힰ-ퟻ]")
         self._token = re.compile("[^ \\n\\r\\t]*" + self._hit.pattern + "[^ \\n\\r\\t]*")
-        self._unit = re.compile(
-            f"(?P<emoji>[#*0-9]️?⃣|[{_EMOJI}][️\U0001f3fb-\U0001f3ff]*(?:‍[{_EMOJI}][️\U0001f3fb-\U0001f3ff]*)*)"
-            f"|(?P<joined>[؀-ۿऀ-෿က-႟][‌‍]+(?=[؀-ۿऀ-෿က-႟]))"
-            f"|(?P<word>[{letter}](?:[{letter}{_MARKS}{hidden}]*[{letter}{_MARKS}])?)"
-            f"|(?P<jamo>(?:[가-힣][{hidden}]*)?[ᄀ-ᅞᅡ-ᇿ](?:[ᄀ-ᅞᅡ-ᇿ{hidden}]*[ᄀ-ᅞᅡ-ᇿ])?)"
-            f"|(?P<marked>[^\\s{_MARKS}{one}](?:[{hidden}]*[{_MARKS}])+)"
-            f"|(?P<one>[{one}])"
-        )
         self._each = str.maketrans(t)
         self._word = str.maketrans(t | every)
+        self._voice = str.maketrans(t | dict(zip(VOICE, "\u3099\u309a", strict=True)))
         self._like = re.compile(f"[{_cls(every)}]")
         self._plain = re.compile("[A-Za-z]")
-        self._other = re.compile(f"[Ͱ-ϿЀ-ԯ]")
+        self._other = re.compile(f"[Ͱ-ϿЀ-ԯ{_cls(LOOSE)}]")
         self._memo = lru_cache(1 << 16)(self._cluster)
         for a, b in t.items():
             if any(ch in t for ch in b):
@@ -131,17 +183,30 @@ class Transducer:
         for a, b in every.items():
             if any(ch in t or ch in every for ch in b) or a in t:
                 raise Conflict(f"the look-alike {a!r} is mapped twice")
+        if missing := {to for moves in self._moves.values() for to in moves.values() if to[-1] not in "-~"} - _ACTS.keys():
+            raise Conflict(f"states without an outcome: {missing}")
 
     def _cluster(self, token: str) -> str:
-        return self._unit.sub(lambda m: self._map(m.lastgroup, m.group()), token)
-
-    def _map(self, kind: str, s: str) -> str:
-        if kind in ("emoji", "joined"):
+        """The target of a stretch without blanks: at each place the longest cluster that the table accepts."""
+        out, i, n = [], 0, len(token)
+        kinds, moves = self._class, self._moves
+        while i < n:
+            state, j, end, act = "start", i, i + 1, "copy"
+            while j < n and (state := moves[state].get(kinds[token[j]]) if state in moves else None):
+                j += 1
+                if state in _ACTS:
+                    end, act = j, _ACTS[state]
+            out.append(self._target(act, token[i:end]))
+            i = end
+        return "".join(out)
+
+    def _target(self, act: str, s: str) -> str:
+        if act == "copy":
             return s
-        if kind == "one":
-            return self.table[s]
-        if kind != "word":
-            return ud.normalize("NFC", s.translate(self._each))
+        if act == "map":
+            return self.table.get(s, s)
+        if act != "word":
+            return ud.normalize("NFC", s.translate(self._voice if act == "voice" else self._each))
         flat = ud.normalize("NFC", s.translate(self._each))
         if self._like.search(flat):
             foreign = self._other.findall(flat)

@@ -19,6 +19,7 @@ from quern.llm.knn import CentroidGraph, _best, balanced_centroids
         ("ｆｕｌｌ　１２！", "full 12!"), ("金利", "金利"), ("나\u00a0무\u2007잎", "나 무 잎"), ("저\u2060장\u200b소\ufeff", "저장소"), ("\u1112\u1161\u11ab글", "한글"), ("가\u11a8", "각"),
         ("nai\u0308ve\u0301", "naïvé"), ("처방‧시간⋅값ㆍ", "처방·시간·값·"), ("non‑stop", "non-stop"), ("👨\u200d👩\u200d👧 👩\u200d🔬 ❤\ufe0f 1\ufe0f\u20e3", "👨\u200d👩\u200d👧 👩\u200d🔬 ❤\ufe0f 1\ufe0f\u20e3"),
         ("m² ½ × ① Ⅲ ㈜ ㎡ ㅋㅋ “곁” ‘곁’ 『들녘』", "m² ½ × ① Ⅲ ㈜ ㎡ ㅋㅋ “곁” ‘곁’ 『들녘』"), ("a\r\nb\n", "a\r\nb\n"), ("&nbsp;", "&nbsp;"), ("", ""), ("р\u200bер", "pep"), ("क\u094d\u200dष", "क\u094d\u200dष"),
+        ("ｶﾞｷﾞﾊﾟ ｱﾞ ﾞ ｶ\u200bﾞ か\u3099", "ガギパ ア\u3099 ゛ ガ が"), ("⼈⽔⺡⻓", "人水氵长"), ("seոd ꓢale Ꭱoad", "send Sale Road"), ("ꓮꓐꓚ հայ Ꭰ Ⅲ ⅼ", "ꓮꓐꓚ հայ Ꭰ Ⅲ ⅼ"), ("leveⅼ 3∶2 a․b", "level 3:2 a.b"), ("1\u0301 #\u20e3 x\u20e3", "1\u0301 #\u20e3 x\u20e3"),
     ],
 )
 def test_one_form(text, want):
