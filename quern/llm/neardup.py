@@ -1,19 +1,27 @@
 """Problem 4: groups of records that differ by small edits or order.
 
-Method: BagMinHash.  A record is a multiset of word shingles; an element of
-weight w owns the unit cells (element, 1..w) of the discretised weights, and
-each cell carries a Poisson process whose points (time, position) come from a
-hash of the cell.  A signature keeps the earliest time at each position, so two
-signatures agree at a position with the probability of the weighted Jaccard
-similarity.  Processes are advanced point by point and dropped as soon as their
-time passes the latest entry of the record's signature.  Signatures are banded;
-records that share a band are compared exactly.
+Method: BagMinHash.  A record is a multiset of word shingles.  An element's
+weight is discretised to unit cells 0, 1, 2 ..., and the cells are grouped in
+levels of doubling size: [0, 1), [1, 2), [2, 4), [4, 8) ...  Each level carries one
+Poisson process whose rate is its size; a point is (time, position) and falls to
+a cell by halving the level again and again, one bit of its hash each.  A level
+wholly below the weight keeps all its points, the level that the weight cuts
+keeps those whose cell lies below.  So an element costs as many processes as its
+weight has bits, and the number of points does not depend on the weights.  A
+signature keeps the earliest time at each position, so two signatures agree at a
+position with the probability of the weighted Jaccard similarity.  Processes are
+advanced point by point and dropped as soon as their time passes the latest entry
+of the record's signature.  Signatures are banded; records that share a band are
+compared exactly.
 
 Buckets never become all their pairs: equal shingle sets are collapsed first,
 then every member of a bucket is checked against the bucket's smallest member,
 links are closed to components, and only members of one bucket that are still in
 different components are checked with each other.  That loses no candidate
-link, for inside one component no further link can change a group.
+link, for inside one component no further link can change a group.  Of a bucket
+with more than ``most_open`` of those, only pairs that share one of the rarest
+elements of each are checked: two records of similarity ``least`` cannot share
+only others, so that loses none either, and unlike records share none.
 
 Defined results: records without text or with fewer words than a shingle have no
 partner; rows of one id are one record; ties and repeats do not matter; an empty
@@ -25,7 +33,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm import lines
@@ -75,28 +83,46 @@ def shingles(texts: list[str], width: int, weighted: bool = False) -> tuple[np.n
     return (code >> np.uint64(32)).astype(np.int64), code & np.uint64(0xFFFFFFFF), weight if weighted else np.ones(len(code), np.int64)
 
 
+def levels(owner: np.ndarray, element: np.ndarray, weight: np.ndarray, seed: int) -> tuple[np.ndarray, ...]:
+    """(owner, state, level's size, cells of it below the weight) of every level that an element of this weight has."""
+    out = [(owner, mix(element * _M3 + mix(np.array([seed], np.uint64))), np.ones(len(owner)), np.ones(len(owner), np.int64))]
+    k = 1
+    while (on := np.flatnonzero(weight > (low := 1 << (k - 1)))).size:
+        out.append((owner[on], mix(element[on] * _M3 + mix(np.array([seed + k], np.uint64))), np.full(len(on), float(low)), np.minimum(weight[on] - low, low)))
+        k += 1
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def bag_minhash(owner: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int, size: int, seed: int = 1) -> np.ndarray:
     """(n, size) signatures: the bits of the earliest time at each position; -1 for owners without elements."""
-    if weight.max(initial=1) > 1:  # the unit cells (element, level) of every element
-        level = np.concatenate([np.arange(w, dtype=np.uint64) for w in weight.tolist()])
-        owner, element = np.repeat(owner, weight), np.repeat(element, weight)
-    else:
-        level = np.zeros(len(element), np.uint64)
-    state = mix(element * _M3 + mix(level + np.uint64(seed)))
-    time = np.zeros(len(element))
+    owner, state, rate, below = levels(owner, element, weight, seed)
+    cut = below < rate
+    time = np.zeros(len(owner))
     sig = np.full(n * size, np.inf)
+    table = sig.reshape(n, size)
     step = 0
     latest = np.full(n, np.inf)
     while len(owner):
         step += 1
         state = mix(state + _M3)
-        time = time - np.log(((state >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53)
-        at = (mix(state ^ _M2) % np.uint64(size)).astype(np.int64)
-        np.minimum.at(sig, owner * size + at, time)
+        time = time - np.log(((state >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / rate
+        at = owner * size + (mix(state ^ _M2) % np.uint64(size)).astype(np.int64)
+        if cut.any():
+            # the first bits of a hash are the halves that the point falls to, down to its cell
+            in_ = ~cut
+            cell = (mix(state[cut] ^ _M1) >> np.uint64(11)).astype(np.float64) * 2.0**-53 * rate[cut]
+            in_[cut] = np.floor(cell) < below[cut]
+            np.minimum.at(sig, at[in_], time[in_])
+        else:
+            np.minimum.at(sig, at, time)
         if step & 1 == 0 or step < 3:
-            latest = sig.reshape(n, size).max(1)
+            if len(owner) * 4 < n:
+                own = np.unique(owner)
+                latest[own] = table[own].max(1)
+            else:
+                latest = table.max(1)
         live = time < latest[owner]
-        owner, state, time = owner[live], state[live], time[live]
+        owner, state, time, rate, below, cut = owner[live], state[live], time[live], rate[live], below[live], cut[live]
     return np.where(np.isinf(sig), -1.0, sig).view(np.int64).reshape(n, size)
 
 
@@ -109,21 +135,24 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def signatures(src: DataFrame, width: int, bands: int, rows: int, weighted: bool, known=None) -> DataFrame:
-    """(row_id, id, n, print1, print2, elements, bands) of the prepared rows that have a shingle.
+def signatures(src: DataFrame, width: int, bands: int, rows: int, weighted: bool) -> DataFrame:
+    """(row_id, id, n, print1, print2, elements, weights, bands) of the prepared rows that have a shingle.
 
-    ``known`` is a broadcast of repeated lines by source, left out of the text.
+    A row's lines whose identifier is in its array ``gone`` are left out, where
+    ``src`` has one.  ``n`` is the sum of weights; without ``weighted`` each is 1
+    and ``weights`` is null.
     """
     kinds = dict(src.dtypes)
+    without = "gone" in kinds
+    src = src.select("row_id", "id", "text", *(["keys", "gone"] if without else []))
 
     def run(batches):
         for b in batches:
-            texts = b.column(b.schema.get_field_index("text")).to_pylist()
-            if known is not None:
-                keys = b.column(b.schema.get_field_index("keys")).to_pylist()
-                for i, s in enumerate(b.column(b.schema.get_field_index("source")).to_pylist()):
-                    if (out := known.value.get(s)) and not out.isdisjoint(keys[i]):
-                        texts[i] = "\n".join(ln for ln, k in zip(texts[i].split("\n"), keys[i], strict=True) if k not in out)
+            texts = b.column(2).to_pylist()
+            if without:
+                for i, (keys, gone) in enumerate(zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)):
+                    if gone and not (out := set(gone)).isdisjoint(keys):
+                        texts[i] = "\n".join(ln for ln, k in zip(texts[i].split("\n"), keys, strict=True) if k not in out)
             n = len(texts)
             owner, el, weight = shingles(texts, width, weighted)
             keys = band_keys(bag_minhash(owner, el, weight, n, bands * rows), bands, rows)
@@ -131,43 +160,63 @@ def signatures(src: DataFrame, width: int, bands: int, rows: int, weighted: bool
             has = np.flatnonzero(np.diff(first) > 0)
             starts = first[has]
             marks = mix(el * _M3 + weight.astype(np.uint64))
-            p1 = np.add.reduceat(marks, starts) if len(has) else marks[:0]
-            p2 = np.add.reduceat(mix(marks + _M1), starts) if len(has) else marks[:0]
-            ends = np.append(starts, len(el)).astype(np.int32)
-            cells = el if not weighted else None
-            if weighted:  # the k-th copy of an element is an element of its own
-                ends = np.append(0, np.cumsum(np.add.reduceat(weight, starts))).astype(np.int32) if len(has) else ends[:1]
-                lv = np.concatenate([np.arange(w, dtype=np.uint64) for w in weight.tolist()]) if len(weight) else el
-                cells = mix(np.repeat(el, weight) + lv * _M3) >> np.uint64(32) if len(weight) else el
+            each = lambda x: np.add.reduceat(x, starts) if len(has) else x[:0]
+            ends = pa.array(np.append(starts, len(el)).astype(np.int32))
             pick = pa.array(has, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(b.schema.get_field_index("row_id")).take(pick),
-                    b.column(b.schema.get_field_index("id")).take(pick),
-                    pa.array(np.diff(ends), pa.int32()),
-                    pa.array(p1.view(np.int64)),
-                    pa.array(p2.view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(cells.astype(np.uint32).view(np.int32))),
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(has) + 1, dtype=np.int32) * bands), pa.array(keys[has].ravel())),
-                ],
-                names=["row_id", "id", "n", "print1", "print2", "elements", "bands"],
-            )
-
-    return src.mapInArrow(run, f"row_id {kinds['row_id']}, id {kinds['id']}, n int, print1 bigint, print2 bigint, elements array<int>, bands array<bigint>")
-
-
-def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) of rows whose element sets overlap by at least ``least`` of their union."""
-    left = sets.select(F.col("row_id").alias("a"), F.col("n").alias("na"), F.col("elements").alias("ea"))
-    right = sets.select(F.col("row_id").alias("b"), F.col("n").alias("nb"), F.col("elements").alias("eb"))
-    both = F.size(F.array_intersect("ea", "eb"))
-    return (
-        pairs.join(left, "a")
-        .join(right, "b")
-        .where(F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb"))  # the most that sizes alone allow
-        .where(both >= F.lit(least) * (F.col("na") + F.col("nb") - both) - F.lit(1e-9))
-        .select("a", "b")
-    )
+            cols = [
+                b.column(0).take(pick),
+                b.column(1).take(pick),
+                pa.array(each(weight).astype(np.int64)),
+                pa.array(each(marks).view(np.int64)),
+                pa.array(each(mix(marks + _M1)).view(np.int64)),
+                pa.ListArray.from_arrays(ends, pa.array(el.astype(np.uint32).view(np.int32))),
+                pa.ListArray.from_arrays(ends, pa.array(weight.astype(np.int32))) if weighted else pa.nulls(len(has), pa.list_(pa.int32())),
+                pa.ListArray.from_arrays(pa.array(np.arange(len(has) + 1, dtype=np.int32) * bands), pa.array(keys[has].ravel())),
+            ]
+            yield pa.RecordBatch.from_arrays(cols, names=["row_id", "id", "n", "print1", "print2", "elements", "weights", "bands"])
+
+    return src.mapInArrow(run, f"row_id {kinds['row_id']}, id {kinds['id']}, n bigint, print1 bigint, print2 bigint, elements array<int>, weights array<int>, bands array<bigint>")
+
+
+def _shared(batches):
+    """(a, b, na, nb, both): the sum over the elements of two rows of the lesser weight."""
+    for b in batches:
+        sides = []
+        for el, w in ((4, 5), (6, 7)):
+            col = b.column(el)
+            own = np.repeat(np.arange(len(col), dtype=np.int64), np.diff(col.offsets.to_numpy()))
+            sides.append(((own << 32) | col.flatten().to_numpy(zero_copy_only=False).view(np.uint32), b.column(w).flatten().to_numpy(zero_copy_only=False)))
+        _, i, j = np.intersect1d(sides[0][0], sides[1][0], assume_unique=True, return_indices=True)
+        both = np.bincount(sides[0][0][i] >> 32, np.minimum(sides[0][1][i], sides[1][1][j]), b.num_rows).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(both)], names=["a", "b", "na", "nb", "both"])
+
+
+def verified(pairs: DataFrame, sets: DataFrame, least: float, weighted: bool = False) -> DataFrame:
+    """The pairs (a, b) of rows whose elements overlap by at least ``least`` of their union, with ``weighted`` as multisets."""
+    side = lambda x: sets.select(F.col("row_id").alias(x), F.col("n").alias(f"n{x}"), F.col("elements").alias(f"e{x}"), F.col("weights").alias(f"w{x}"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb"))  # the most that sizes alone allow
+    if weighted:
+        kind = dict(sets.dtypes)["row_id"]
+        met = met.select("a", "b", "na", "nb", "ea", "wa", "eb", "wb").mapInArrow(_shared, f"a {kind}, b {kind}, na bigint, nb bigint, both bigint")
+        both = F.col("both")
+    else:
+        both = F.size(F.array_intersect("ea", "eb"))
+    return met.where(both >= F.lit(least) * (F.col("na") + F.col("nb") - both) - F.lit(1e-9)).select("a", "b")
+
+
+def rare_pairs(rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(a, b) of rows (row_id, label) of different labels that share one of the rarest elements of each.
+
+    A row's elements go from rare to frequent; those count whose weight together
+    with all behind them is ``least`` of the row's: rows of that similarity
+    cannot share only others.
+    """
+    own = rows.join(sets, "row_id").select("row_id", "label", "n", F.explode(F.arrays_zip("elements", F.coalesce("weights", F.transform("elements", lambda x: F.lit(1))).alias("weights"))).alias("x")).select("row_id", "label", "n", F.col("x.elements").alias("el"), F.col("x.weights").alias("w"))
+    own = materialize(own.join(own.groupBy("el").agg(F.count("*").alias("f")), "el"))
+    behind = F.sum("w").over(Window.partitionBy("row_id").orderBy(F.col("f").desc(), F.col("el").desc()).rowsBetween(Window.unboundedPreceding, 0))
+    front = own.withColumn("behind", behind).where((F.col("behind") >= F.lit(least) * F.col("n") - 1e-9) & (F.col("f") > 1))
+    left, right = front.select("el", F.col("row_id").alias("a"), F.col("label").alias("la")), front.select("el", F.col("row_id").alias("b"), F.col("label").alias("lb"))
+    return left.join(right, "el").where("la < lb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -189,52 +238,47 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def groups(src: DataFrame, width: int = 5, least: float = 0.8, bands: int = 20, rows: int = 5, weighted: bool = False, known=None) -> DataFrame:
-    """(id, class_id, links): every id with a partner, its class and its number of verified links.
+def groups(src: DataFrame, width: int = 5, least: float = 0.8, bands: int = 20, rows: int = 5, weighted: bool = False, most_open: int = 64) -> DataFrame:
+    """(id, class_id): every id with a shingle and its class; those alone in theirs have no partner.
 
-    ``src`` has (row_id, id, text[, source, keys]).  ``bands`` and ``rows`` set
+    ``src`` has (row_id, id, text[, keys, gone]).  ``bands`` and ``rows`` set
     the chance to miss a pair of similarity s: (1 - s**rows)**bands.
     """
-    table = materialize(signatures(src, width, bands, rows, weighted, known))
+    table = materialize(signatures(src, width, bands, rows, weighted))
     prints = table.groupBy("print1", "print2").agg(F.min("row_id").alias("rep"))
     copies = materialize(table.select("row_id", "id", "print1", "print2").join(prints, ["print1", "print2"]).select("row_id", "id", "rep"))
-    reps = broadcast_below(copies.where("row_id = rep").select("row_id"), 2_000_000)
-    one = table.join(reps, "row_id", "left_semi")
-    spread = one.select("row_id", F.explode("bands").alias("key")).repartition("key")
+    others = broadcast_below(copies.where("row_id != rep").select("row_id"), 2_000_000)
+    one = table.join(others, "row_id", "left_anti")
+    spread = one.select("row_id", F.explode("bands").alias("key"))
     bucket = spread.groupBy("key").agg(F.min("row_id").alias("rep"), F.count("*").alias("size")).where("size > 1")
     members = materialize(spread.join(bucket, "key"))
-    sets = one.select("row_id", "n", "elements")
     candidates = broadcast_below(members.select("row_id").distinct(), 2_000_000)
-    sets = materialize(sets.join(candidates, "row_id", "left_semi"))
-    first = materialize(verified(members.where("row_id != rep").select(F.col("rep").alias("a"), F.col("row_id").alias("b")).distinct(), sets, least))
+    sets = materialize(one.select("row_id", "n", "elements", "weights").join(candidates, "row_id", "left_semi"))
+    first = materialize(verified(members.where("row_id != rep").select(F.col("rep").alias("a"), F.col("row_id").alias("b")).distinct(), sets, least, weighted))
     labels = components(first)
     placed = members.where("size > 2").join(labels.withColumnRenamed("node", "row_id"), "row_id", "left").select("key", "row_id", F.coalesce("label", "row_id").alias("label"))
-    mixed = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
-    # Only the members outside the bucket's largest... every cross-component pair of a mixed bucket is still open.
-    open_ = materialize(placed.join(mixed, "key", "left_semi"))
-    left, right = open_.select("key", F.col("row_id").alias("a"), F.col("label").alias("la")), open_.select("key", F.col("row_id").alias("b"), F.col("label").alias("lb"))
-    rest = materialize(verified(left.join(right, "key").where("la < lb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, least))
-    links = first.unionByName(rest)
+    mixed = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("open")).where("lo != hi").select("key", "open")
+    open_ = materialize(placed.join(mixed, "key"))
+    few = open_.where(F.col("open") <= most_open)
+    left, right = few.select("key", F.col("row_id").alias("a"), F.col("label").alias("la")), few.select("key", F.col("row_id").alias("b"), F.col("label").alias("lb"))
+    pairs = left.join(right, "key").where("la < lb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()  # most_open ** 2 a bucket
+    many = open_.where(F.col("open") > most_open).select("row_id", "label").distinct()
+    if not many.isEmpty():
+        pairs = pairs.union(rare_pairs(many, sets, least)).distinct()
+    rest = materialize(verified(pairs, sets, least, weighted))
     if not rest.isEmpty():
-        labels = components(links)
-    degree = links.select("a").union(links.select(F.col("b").alias("a"))).groupBy("a").agg(F.count("*").alias("links"))
-    return (
-        copies.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-        .join(degree.withColumnRenamed("a", "rep"), "rep", "left")
-        .groupBy("id")
-        .agg(F.min(F.coalesce("label", "rep")).alias("class_id"), F.max(F.coalesce("links", F.lit(0))).alias("links"))
-    )
+        labels = components(first.unionByName(rest))
+    return copies.join(labels.withColumnRenamed("node", "rep"), "rep", "left").groupBy("id").agg(F.min(F.coalesce("label", "rep")).alias("class_id"))
 
 
-def article_groups(df: DataFrame, width: int = 3, least: float = 0.5, bands: int = 50, rows: int = 3) -> DataFrame:
+def article_groups(df: DataFrame, width: int = 3, least: float = 0.5, bands: int = 50, rows: int = 3, weighted: bool = False) -> DataFrame:
     """Groups of articles by title and content together, once characters, markup and repeated lines are put right."""
     slug = F.col("board.slug")
     src = df.where(F.col("content").isNotNull() & F.col("content").rlike("\\S")).select("row_id", "id", slug.alias("slug"), "title", "content")
-    ready = materialize(lines.prepared(src, "row_id", "id", "slug", "content", title="title", keep_text=True))
-    need = lines.thresholds(df.select("id", slug.alias("slug")), "id", "slug")
-    blocks = lines.repeated_blocks(ready.select("row_id", "id", "source", "keys"), need, rounds=1)
-    known = df.sparkSession.sparkContext.broadcast(lines.key_sets(blocks))
-    return groups(ready, width, least, bands, rows, known=known)
+    need = broadcast_below(materialize(lines.thresholds(df.select("id", slug.alias("slug")), "id", "slug").drop("n_docs")), lines.SMALL)
+    ready = materialize(lines.prepared(src, "row_id", "id", "slug", "content", title="title", keep="clean"))
+    blocks = lines.repeated_blocks(materialize(lines.suffix_table(ready, need, lines.DEPTH)))
+    return groups(ready.join(lines.source_keys(blocks), "source", "left"), width, least, bands, rows, weighted)
 
 
 def group_pairs(classes: DataFrame) -> DataFrame:

@@ -39,6 +39,11 @@ def p3_terms(spark, d):
     return terms.term_frequencies(_read(spark, d, "doc_terms"), "id", ["t", "r"])
 
 
+def p4_method(spark, d):
+    """The method on multisets: the same groups by the overlap of runs with their numbers."""
+    return neardup.article_groups(_read(spark, d, "articles"), weighted=True)
+
+
 def p4_found(spark, d):
     return neardup.group_pairs(neardup.article_groups(_read(spark, d, "articles")))
 
@@ -63,6 +68,11 @@ def p6_top(spark, d):
     return topn.top_n(_read(spark, d, "related").where("src IS NULL OR id IS NULL OR src != id"), "src", "id", "score", n=10)
 
 
+def p7_method(spark, d):
+    """The repeated blocks of lines of every board, by the identifiers of their lines."""
+    return lines.source_blocks(_read(spark, d, "articles"), "row_id", "id", "board.slug", "content")
+
+
 def p7_found(spark, d):
     return lines.repeated_lines(_read(spark, d, "articles"), "row_id", "id", "board.slug", "content")
 
@@ -94,7 +104,7 @@ def p10_mix(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p1_found, p1_text, p2_found, p2_nearest, p3_found, p3_terms, p4_found, p4_groups, p5_found, p5_text, p6_found, p6_top, p7_found, p7_text, p8_ids, p9_method, p9_containers, p10_found, p10_mix)
+    own = (p1_found, p1_text, p2_found, p2_nearest, p3_found, p3_terms, p4_method, p4_found, p4_groups, p5_found, p5_text, p6_found, p6_top, p7_method, p7_found, p7_text, p8_ids, p9_method, p9_containers, p10_found, p10_mix)
     return {f.__name__: f for f in own}
 
 

@@ -121,6 +121,32 @@ def test_bag_minhash_is_unbiased():
     assert (neardup.bag_minhash(np.zeros(0, int), np.zeros(0, np.uint64), np.zeros(0, int), 1, 8) == neardup.bag_minhash(np.zeros(0, int), np.zeros(0, np.uint64), np.zeros(0, int), 1, 8)).all()
 
 
+def test_bag_minhash_cost_does_not_follow_the_weights():
+    """A weight of a million has twenty levels, and signatures still agree as the weighted similarity says."""
+    owner = np.concatenate([np.zeros(40, int), np.ones(40, int)])
+    el = np.tile(np.arange(40, dtype=np.uint64), 2)
+    weight = np.concatenate([np.full(40, 1_000_000), np.full(40, 700_000)])
+    own, _, size, below = neardup.levels(owner, el, weight, 1)
+    assert len(own) <= 21 * 80
+    assert np.bincount(own, below).tolist() == [40_000_000, 28_000_000] and (below <= size).all()
+    sig = neardup.bag_minhash(owner, el, weight, 2, 2048)
+    assert abs((sig[0] == sig[1]).mean() - 0.7) < 0.05
+
+
+def test_intervals_equal_brute_force():
+    rng = random.Random(1)
+    for _ in range(300):
+        suffixes = sorted({(1, *rng.choices([1, 2, 3], k=rng.randint(0, 5))) for _ in range(rng.randint(1, 12))})
+        rng.shuffle(suffixes)
+        docs, need, held = [rng.randint(1, 4) for _ in suffixes], rng.randint(1, 8), {}
+        for x, d in zip(suffixes, docs):
+            for k in range(1, len(x) + 1):
+                held[x[:k]] = held.get(x[:k], 0) + d
+        longer = {(x[:-1], n) for x, n in held.items()}
+        got = [(tuple(x), n) for x, n in lines.intervals([list(x) for x in suffixes], docs, need)]
+        assert sorted(got) == sorted((x, n) for x, n in held.items() if n >= need and (x, n) not in longer)
+
+
 def test_shingles():
     own, el, w = neardup.shingles(["a b c d", "a b", "", "a b c d", "x y z x y z"], 3, weighted=True)
     assert [(own == i).sum() for i in range(5)] == [2, 0, 0, 2, 3]

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quern.llm import chars, knn, lines, markup, neardup, packing, queries, subjects, terms, tokens, topn
 
@@ -153,6 +154,53 @@ def test_weighted_groups_see_repeats(spark):
     assert got["a"] == got["b"] != got["c"]
 
 
+def test_a_bucket_of_unlike_records_gives_few_pairs(spark):
+    """Records that share a band but little else: the rarest elements tell them apart, and no like pair is lost."""
+    rng = random.Random(6)
+    common = [f"c{i}" for i in range(30)]
+    texts = [" ".join(common + [f"u{k}w{i}" for i in range(60)]) for k in range(3000)]
+    like = " ".join(common + [f"v{i}" for i in range(60)])
+    texts += [like, like.replace("v0 ", "w0 "), like.replace("v59", "w59")]
+    df = spark.createDataFrame([(k, f"r{k}", t) for k, t in enumerate(texts)], "row_id long, id string, text string")
+    table = neardup.signatures(df, 3, 4, 1, False)
+    sets = table.select("row_id", "n", "elements", "weights")
+    pairs = neardup.rare_pairs(df.select("row_id", F.col("row_id").alias("label")), sets, 0.5)
+    assert {(r.a, r.b) for r in pairs.collect()} == {(3000, 3001), (3000, 3002), (3001, 3002)}
+    got = defaultdict(set)
+    for r in neardup.groups(df, width=3, least=0.5, bands=40, rows=1, most_open=8).collect():
+        got[r.class_id].add(r.id)
+    assert {frozenset(x) for x in got.values() if len(x) > 1} == {frozenset({"r3000", "r3001", "r3002"})}
+    assert rng
+
+
+def test_weighted_groups_equal_brute_force(spark):
+    """Overlap of multisets: runs count as often as they stand, weights of thousands too."""
+    rng = random.Random(8)
+    vocab, texts = [f"w{i}" for i in range(40)], {}
+    for g in range(12):
+        base = [w for w in rng.sample(vocab, 6) for _ in range(rng.choice([1, 3, 40]))]
+        for c in range(rng.randint(1, 4)):
+            t = base + rng.choices(vocab, k=rng.randint(0, len(base) // 3))
+            texts[f"g{g}c{c}"] = " ".join(t)
+    texts |= {"long": "a " * 5000, "long2": "a " * 4000, "short": "a a a a"}
+    bags = {k: Counter(zip(*(t.split()[i:] for i in range(2)))) for k, t in texts.items()}
+    label = {k: k for k in bags}
+    for a in bags:
+        for b in bags:
+            if a < b and (bags[a] & bags[b]).total() >= 0.6 * (bags[a] | bags[b]).total():
+                old, new = label[b], label[a]
+                label = {k: new if x == old else x for k, x in label.items()}
+    want = defaultdict(set)
+    for k, x in label.items():
+        want[x].add(k)
+    df = spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(texts.items())], "row_id long, id string, text string")
+    for most_open in (64, 1):
+        got = defaultdict(set)
+        for r in neardup.groups(df, width=2, least=0.6, bands=80, rows=2, weighted=True, most_open=most_open).collect():
+            got[r.class_id].add(r.id)
+        assert {frozenset(x) for x in got.values()} == {frozenset(x) for x in want.values()}
+
+
 def test_components_of_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r.node: r.label for r in neardup.components(edges).collect()}
@@ -224,12 +272,53 @@ def test_repeated_lines(spark):
     assert {(r.row_id, r.line_no) for r in lines.repeated_lines(df, "row_id", "id", "board.slug", "content").collect()} == want
     out = {r.row_id: r for r in lines.without_repeated(df, "row_id", "id", "board.slug", "content").collect()}
     assert out[0].removed == 2 and note not in out[0].text and out[101].text is None and out[102].text == note and out[1].removed == 0 and out[1].text == rows[1][3]
-    need = lines.thresholds(df, "id", "board.slug")
-    blocks = lines.repeated_blocks(lines.prepared(df, "row_id", "id", "board.slug", "content"), need).collect()
-    assert {(r.length, r.docs) for r in blocks} == {(1, 13), (2, 13)}  # the two lines, and the block of both
+    blocks = lines.source_blocks(df, "row_id", "id", "board.slug", "content").collect()
+    assert {(r.length, r.docs) for r in blocks} == {(1, 13), (2, 13)}  # the block of both lines, and the second by itself
     assert lines.repeated_lines(df.limit(0), "row_id", "id", "board.slug", "content").count() == 0
 
 
+def _blocks(rows, least_docs, least_share):
+    """By brute force: (source, block) to documents, for blocks in enough documents that no longer one with as many begins with."""
+    docs, held = defaultdict(set), defaultdict(set)
+    for doc, source, keys in rows:
+        docs[source].add(doc)
+        for a in range(len(keys)):
+            for b in range(a + 1, len(keys) + 1):
+                if 0 in keys[a:b]:
+                    break
+                held[source, tuple(keys[a:b])].add(doc)
+    need = {s: max(least_docs, -(-len(d) * least_share // 1)) for s, d in docs.items()}
+    enough = {k: len(d) for k, d in held.items() if len(d) >= need[k[0]]}
+    longer = {(s, b[:-1], n) for (s, b), n in enough.items()}
+    return {(s, b, n) for (s, b), n in enough.items() if (s, b, n) not in longer}
+
+
+def test_blocks_equal_brute_force(spark):
+    """Blocks of up to nine lines, cut short and repeated within documents, in sources of different sizes."""
+    rng = random.Random(9)
+    footer, rows = [f"마지막에 오는 같은 줄 번호 {c}" for c in "가나다라마바사아자"], []
+    for i in range(160):
+        own = [f"글마다 다른 문장 {rng.random()}" + "".join(rng.choices("가나다라마바사", k=8)) for _ in range(2)]
+        a, b = sorted(rng.choices(range(10), k=2)) if i % 4 else (0, 9)
+        rows.append((i, f"d{i % 150}", None, "\n".join([own[0], *footer[a:b], "", own[1], *(footer[2:4] if i % 3 == 0 else [])]), None, ("n", "s" if i % 5 else "t")))
+    df = _articles(spark, rows)
+    keys = [(r.id, r.source, r["keys"]) for r in lines.prepared(df, "row_id", "id", "board.slug", "content").collect()]
+    got = {(r.source, tuple(r.block), r.docs) for r in lines.source_blocks(df, "row_id", "id", "board.slug", "content").collect()}
+    want = _blocks(keys, 5, 0.05)
+    assert got == want and max(len(b) for _, b, _ in got) == 9
+    cut = {(r.source, tuple(r.block), r.docs) for r in lines.source_blocks(df, "row_id", "id", "board.slug", "content", depth=3).collect()}
+    assert {x for x in want if len(x[1]) < 3} <= cut and max(len(b) for _, b, _ in cut) == 3
+    covered = lambda d: {(r.row_id, r.line_no) for r in lines.repeated_lines(df, "row_id", "id", "board.slug", "content", depth=d).collect()}
+    assert covered(3) == covered(256)
+
+
+def test_blocks_of_the_table_equal_brute_force(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/articles.parquet").where("content IS NOT NULL AND board.slug IS NOT NULL")
+    keys = [(r.id, r.source, r["keys"]) for r in lines.prepared(df, "row_id", "id", "board.slug", "content").collect()]
+    got = {(r.source, tuple(r.block), r.docs) for r in lines.source_blocks(df, "row_id", "id", "board.slug", "content").collect()}
+    assert got == _blocks(keys, 5, 0.05) and got
+
+
 # 8, 9 -------------------------------------------------------------------------------------------
 
 
