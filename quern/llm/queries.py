@@ -52,6 +52,11 @@ def p4_groups(spark, d):
     return neardup.article_groups(_read(spark, d, "articles"))
 
 
+def p5_method(spark, d):
+    """Every candidate of the tree with its marginal: what the model holds for markup and what it turns down."""
+    return markup.markup_nodes(_read(spark, d, "articles"), "row_id", "content")
+
+
 def p5_found(spark, d):
     return markup.markup_kinds(_read(spark, d, "articles"), "row_id", "content")
 
@@ -104,7 +109,7 @@ def p10_mix(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p1_found, p1_text, p2_found, p2_nearest, p3_found, p3_terms, p4_method, p4_found, p4_groups, p5_found, p5_text, p6_found, p6_top, p7_method, p7_found, p7_text, p8_ids, p9_method, p9_containers, p10_found, p10_mix)
+    own = (p1_found, p1_text, p2_found, p2_nearest, p3_found, p3_terms, p4_method, p4_found, p4_groups, p5_method, p5_found, p5_text, p6_found, p6_top, p7_method, p7_found, p7_text, p8_ids, p9_method, p9_containers, p10_found, p10_mix)
     return {f.__name__: f for f in own}
 
 
