@@ -2,11 +2,15 @@
 
 Method: balanced posting lists.  A bounded sample is halved at the median again
 and again, so its leaves are of one size; their means are the lists' centroids.
-Centroids are searched by a neighbour graph in the worker's memory.  A vector at
-a boundary is stored in several lists: all whose centroid is at most
-``1 + spread`` times as far as the nearest (distance-ratio pruning), ``most``
-at the most; the same rule selects the lists that it searches, so each list is
-compared within itself, block by block, and yields only every member's k best.
+Centroids are searched by a neighbour graph in the worker's memory, whatever
+their number; its links are made once, on the driver.  A vector at a boundary is
+stored in several lists: all whose centroid is at most ``1 + spread`` times as far
+as the nearest (distance-ratio pruning), ``most`` at the most; the same rule
+selects the lists that it searches, so each list is compared within itself and
+yields only every member's k best.  Beyond ``max_lists`` lists grow: a list of more
+than eight times ``list_rows`` is divided within its task by the same rule again.
+A list that the sample shows to be beyond ``tile_rows`` is cut in parts whose pairs
+are tasks of their own, so no task's rows are unbounded.
 
 Equal vectors are compared once: of each set of copies the smallest row stands
 for all, and its neighbours are given to the others afterwards.
@@ -86,42 +90,55 @@ def balanced_centroids(x: np.ndarray, lists: int, seed: int = 0) -> np.ndarray:
 
 
 class CentroidGraph:
-    """Centroids with links to their nearest ones, searched best-first by a beam for a whole batch at once."""
-
-    def __init__(self, centroids: np.ndarray, degree: int = 256, beam: int = 8) -> None:
-        self.c, self.beam = centroids, beam
-        n = len(centroids)
-        self.full = n <= degree + 1  # every centroid links to every other: one step sees all
-        if not self.full:
-            self.links = np.concatenate([np.argpartition(-(centroids[a : a + 1024] @ centroids.T), degree // 4, axis=1)[:, : degree // 4] for a in range(0, n, 1024)])
-            rng = np.random.default_rng(0)
-            self.links = np.concatenate([self.links, rng.integers(0, n, (n, 8))], axis=1)
-            self.entries = np.linspace(0, n - 1, math.isqrt(n) * 2).astype(np.int64)
-
-    def search(self, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(centroid, cosine) of the k most similar centroids of each vector, best first."""
-        k = min(k, len(self.c))
-        if self.full:
-            s = x @ self.c.T
-            top = np.argpartition(-s, k - 1, axis=1)[:, :k]
-        else:
-            s = x @ self.c[self.entries].T
-            front = self.entries[np.argpartition(-s, self.beam, axis=1)[:, : self.beam]]
-            for _ in range(6):
-                near = np.sort(np.concatenate([front, self.links[front].reshape(len(x), -1)], axis=1), axis=1)
-                s = np.einsum("nd,nmd->nm", x, self.c[near])
-                s[:, 1:][near[:, 1:] == near[:, :-1]] = -2
-                best = np.take_along_axis(near, np.argpartition(-s, max(k, self.beam), axis=1)[:, : max(k, self.beam)], 1)
-                if (np.sort(best[:, : self.beam], axis=1) == np.sort(front, axis=1)).all():
-                    break
-                front = best[:, : self.beam]
-            top = best
-            s = np.einsum("nd,nmd->nm", x, self.c[top])
-            order = np.argsort(-s, axis=1)[:, :k]
-            return np.take_along_axis(top, order, 1), np.take_along_axis(s, order, 1)
-        s = np.take_along_axis(s, top, 1)
-        order = np.argsort(-s, axis=1)
-        return np.take_along_axis(top, order, 1), np.take_along_axis(s, order, 1)
+    """Centroids with links to their nearest ones and to a few at random, searched best-first for a slice of vectors at once."""
+
+    def __init__(self, centroids: np.ndarray, near: int = 20, far: int = 4, links: np.ndarray | None = None, seed: int = 0) -> None:
+        self.c, n = centroids, len(centroids)
+        if links is None:
+            near = min(near, n - 1)
+            own = [self._nearest(a, min(a + 256, n), near) for a in range(0, n, 256)]
+            links = np.concatenate([np.concatenate(own), np.random.default_rng(seed).integers(0, n, (n, far))], axis=1).astype(np.int32)
+        self.links = links
+        self.entries = np.unique(np.linspace(0, n - 1, min(n, max(64, n // 16))).astype(np.int32))  # the order of the halvings: spread over all
+
+    def _nearest(self, a: int, b: int, near: int) -> np.ndarray:
+        s = self.c[a:b] @ self.c.T
+        s[np.arange(b - a), np.arange(a, b)] = -2
+        return np.argpartition(-s, near - 1, axis=1)[:, :near] if near else np.zeros((b - a, 0), np.int64)
+
+    def search(self, x: np.ndarray, k: int, pool: int = 32, at_once: int = 4, rows: int = 256) -> tuple[np.ndarray, np.ndarray]:
+        """(centroid, cosine) of the k most similar centroids found for each vector, best first."""
+        found = [self._search(x[a : a + rows], min(k, len(self.c)), pool, at_once) for a in range(0, len(x), rows)]
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+    def _search(self, x: np.ndarray, k: int, pool: int, at_once: int) -> tuple[np.ndarray, np.ndarray]:
+        """Follows the links of the best ``at_once`` open centroids of each vector's pool until its first 2 k are all followed."""
+        best = lambda s, m, *more: [np.take_along_axis(z, t, 1) for t in [np.argpartition(-s, m - 1, axis=1)[:, :m]] for z in (s, *more)]
+        s = x @ self.c[self.entries].T
+        s, ids = best(s, min(pool, s.shape[1]), np.broadcast_to(self.entries, s.shape))
+        seen = np.zeros(ids.shape, bool)
+        while True:
+            order = np.argsort(-s, axis=1, kind="stable")
+            s, ids, seen = (np.take_along_axis(z, order, 1) for z in (s, ids, seen))
+            if seen[:, : max(2 * k, at_once)].all():
+                return ids[:, :k], s[:, :k]
+            pick = np.argpartition(np.where(seen, 3, -s), min(at_once, s.shape[1]) - 1, axis=1)[:, :at_once]
+            np.put_along_axis(seen, pick, True, 1)
+            new = np.sort(self.links[np.take_along_axis(ids, pick, 1)].reshape(len(x), -1), axis=1)
+            v = np.einsum("nd,nmd->nm", x, self.c[new])
+            known = (new[:, :, None] == ids[:, None, :]).any(2)
+            known[:, 1:] |= new[:, 1:] == new[:, :-1]
+            v[known] = -4
+            s, ids, seen = (np.concatenate(z, axis=1) for z in ((s, v), (ids, new), (seen, known)))
+            s, ids, seen = best(s, min(pool, s.shape[1]), ids, seen)
+
+
+def memberships(graph: CentroidGraph, x: np.ndarray, spread: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(vector, list) by distance ratio: every list whose centroid is at most ``1 + spread`` times as far as the nearest."""
+    at, cos = graph.search(x, most)
+    far = np.sqrt(np.maximum(2 - 2 * cos, 0))
+    i, j = np.nonzero(far <= (1 + spread) * far[:, :1] + 1e-6)
+    return i, at[i, j]
 
 
 def _best(rows: np.ndarray, x: np.ndarray, other_rows: np.ndarray, y: np.ndarray, k: int, least: float | None):
@@ -129,9 +146,12 @@ def _best(rows: np.ndarray, x: np.ndarray, other_rows: np.ndarray, y: np.ndarray
     order = np.argsort(other_rows, kind="stable")
     other_rows, y = other_rows[order], y[order]
     out = []
-    for a in range(0, len(x), 512):
-        s = x[a : a + 512] @ y.T
-        s[rows[a : a + 512, None] == other_rows[None, :]] = -2
+    if not len(y):
+        return [rows[:0], other_rows[:0], np.zeros(0, np.float32)]
+    step = max(1, min(512, 4_000_000 // len(y)))
+    for a in range(0, len(x), step):
+        s = x[a : a + step] @ y.T
+        s[rows[a : a + step, None] == other_rows[None, :]] = -2
         if least is not None:
             i, j = np.nonzero(s >= least)
         else:
@@ -146,59 +166,89 @@ def _best(rows: np.ndarray, x: np.ndarray, other_rows: np.ndarray, y: np.ndarray
     return [np.concatenate(z) for z in zip(*out, strict=True)] if out else [rows[:0], other_rows[:0], np.zeros(0, np.float32)]
 
 
+def _within(rows: np.ndarray, x: np.ndarray, k: int, least: float | None, list_rows: int, spread: float, most: int):
+    """(row, neighbour, cosine) of the members of one list, which is divided again if it is large."""
+    if len(rows) <= 8 * list_rows:
+        return _best(rows, x, rows, x, k, least)
+    some = np.random.default_rng(0).permutation(len(x))[: 16 * list_rows]
+    graph = CentroidGraph(balanced_centroids(x[some], len(x) // list_rows))
+    i, at = memberships(graph, x, spread, most)
+    order = np.argsort(at, kind="stable")
+    parts = np.split(i[order], np.flatnonzero(np.diff(at[order])) + 1)
+    return [np.concatenate(z) for z in zip(*(_best(rows[p], x[p], rows[p], x[p], k, least) for p in parts), strict=True)]
+
+
 def nearest(
-    df: DataFrame, row: str, vector: str, dim: int, k: int = 10, least: float | None = None, list_rows: int = 1024, max_lists: int = 16_384, sample: int = 65_536, spread: float = 0.12, most: int = 4, block: int = 8192
+    df: DataFrame, row: str, vector: str, dim: int, k: int = 10, least: float | None = None, list_rows: int = 1024, max_lists: int = 16_384, sample: int = 131_072, spread: float = 0.2, most: int = 8, tile_rows: int = 65_536
 ) -> DataFrame:
     """(row, neighbour, similarity, rank): the ``k`` rows most similar by cosine, of those of at least ``least`` if given.
 
-    ``list_rows`` is the size aimed at for a list, ``max_lists`` and ``sample``
-    bound what the driver holds; beyond them lists grow and are compared in
-    blocks of ``block`` rows.
+    ``list_rows`` is the size aimed at for a list; ``max_lists`` and ``sample``
+    bound what the driver holds and every worker gets.
     """
-    table = materialize(unit_vectors(df, row, vector, dim))
-    kind = dict(table.dtypes)["row"]
-    n = table.count()
+    spark = df.sparkSession
+    units = unit_vectors(df, row, vector, dim)
+    prints = materialize(units.select("row", "print"))  # the vectors are made again when they are needed: on disk they are as large as the input
+    kind = dict(prints.dtypes)["row"]
+    n = prints.count()
     out_schema = f"row {kind}, neighbour {kind}, similarity float"
     if n == 0:
-        return df.sparkSession.createDataFrame([], f"`{row}` {kind}, neighbour {kind}, similarity float, rank int")
-    sets = table.groupBy("print").agg(F.min("row").alias("rep"), F.count("*").alias("size")).where("size > 1")
+        return spark.createDataFrame([], f"`{row}` {kind}, neighbour {kind}, similarity float, rank int")
+    sets = prints.groupBy("print").agg(F.min("row").alias("rep"), F.count("*").alias("size")).where("size > 1")
     sets = broadcast_below(materialize(sets), 1_000_000)
-    copies = materialize(table.select("row", "print").join(sets, "print").select("row", "rep"))
+    copies = materialize(prints.join(sets, "print").select("row", "rep"))
     others = broadcast_below(copies.where("row != rep").select("row"), 1_000_000)
-    reps = table.select("row", "vec").join(others, "row", "left_anti")
+    reps = units.select("row", "vec").join(others, "row", "left_anti")
 
     lists = max(1, min(max_lists, n // list_rows))
     take = min(1.0, min(sample, 256 * lists) / n)
     drawn = reps.where(F.pmod(F.xxhash64("row"), F.lit(1_000_000)) < F.lit(int(math.ceil(take * 1_000_000)))).select("vec").limit(2 * sample)
     x = np.stack([np.frombuffer(r.vec, np.float32) for r in drawn.toLocalIterator()] or [np.ones(dim, np.float32)])
-    centroids = balanced_centroids(x, lists)
+    graph = CentroidGraph(balanced_centroids(x, lists))
+    held = np.zeros(len(graph.c), np.int64)  # the sample's members of each list tell its size
+    for a in range(0, len(x), 8192):
+        held += np.bincount(memberships(graph, x[a : a + 8192], spread, most)[1], minlength=len(held))
+    parts = np.maximum(1, np.ceil(held / len(x) * n / tile_rows)).astype(np.int64)
+    first = np.cumsum(parts * (parts + 1) // 2) - parts * (parts + 1) // 2  # a list's tiles: each two of its parts, and each part with itself
+    shared = spark.sparkContext.broadcast((graph.c, graph.links, parts, first))
+    tiles = int(first[-1] + parts[-1] * (parts[-1] + 1) // 2)
 
     def placed(batches):
-        """(list, vec) for every list that a vector belongs to."""
-        graph = CentroidGraph(centroids)
+        """(tile, side, row, vec) for every tile that a vector belongs to; side 2 is both."""
+        c, links, parts, first = shared.value
+        graph = CentroidGraph(c, links=links)
         for b in batches:
             for a in range(0, b.num_rows, 2048):
-                part = b.slice(a, 2048)
-                v = _matrix(part.column(1), dim)
-                at, cos = graph.search(v, most)
-                far = np.sqrt(np.maximum(2 - 2 * cos, 0))
-                i, j = np.nonzero(far <= (1 + spread) * far[:, :1] + 1e-6)
-                yield pa.RecordBatch.from_arrays([pa.array(at[i, j].astype(np.int32)), part.column(0).take(pa.array(i)), part.column(1).take(pa.array(i))], names=["list", "row", "vec"])
+                cut = b.slice(a, 2048)
+                raw = cut.column(1)
+                i, at = memberships(graph, _matrix(raw, dim), spread, most)
+                side = np.full(len(i), 2)
+                tile = first[at]
+                if (large := np.flatnonzero(parts[at] > 1)).size:
+                    own = np.array([xxhash.xxh3_64_intdigest(raw[int(v)].as_py(), 7) for v in i[large]], np.uint64) % parts[at[large]].astype(np.uint64)
+                    more = [np.stack([np.full(p, e), np.arange(p)]) for e, p in enumerate(parts[at[large]])]
+                    which, other = np.concatenate(more, axis=1)
+                    mine = own.astype(np.int64)[which]
+                    hi, lo = np.maximum(mine, other), np.minimum(mine, other)
+                    small = np.flatnonzero(parts[at] == 1)
+                    i = np.concatenate([i[small], i[large][which]])
+                    tile = np.concatenate([tile[small], tile[large][which] + hi * (hi + 1) // 2 + lo])
+                    side = np.concatenate([side[small], np.where(mine == other, 2, (mine > other).astype(np.int64))])
+                yield pa.RecordBatch.from_arrays([pa.array(tile.astype(np.int32)), pa.array(side.astype(np.int8)), cut.column(0).take(pa.array(i)), raw.take(pa.array(i))], names=["tile", "side", "row", "vec"])
 
-    # Four lists a task, however many there are: a task's share does not grow with the table.
-    members = reps.mapInArrow(placed, f"list int, row {kind}, vec binary").repartition(max(1, lists // 4), "list")
+    # Four tiles a task, however many there are: a task's share does not grow with the table.
+    members = reps.mapInArrow(placed, f"tile int, side tinyint, row {kind}, vec binary").repartition(max(1, tiles // 4), "tile")
 
     def compare(table: pa.Table) -> pa.Table:
-        rows, vs = table.column(1).to_numpy(), _matrix(table.column(2), dim)
-        found: list = [[], [], []]
-        for a in range(0, len(rows), block):
-            parts = [_best(rows[a : a + block], vs[a : a + block], rows[c : c + block], vs[c : c + block], k, least) for c in range(0, len(rows), block)]
-            for z, y in zip(found, zip(*parts, strict=True), strict=True):
-                z.append(np.concatenate(y))
-        r, o, s = (np.concatenate(z) for z in found)
+        side, rows, x = table.column("side").to_numpy(), table.column("row").to_numpy(), _matrix(table.column("vec"), dim)
+        if (side == 2).all():
+            r, o, s = _within(rows, x, k, least, list_rows, spread, most)
+        else:
+            p, q = side == 0, side == 1
+            r, o, s = (np.concatenate(z) for z in zip(_best(rows[p], x[p], rows[q], x[q], k, least), _best(rows[q], x[q], rows[p], x[p], k, least), strict=True))
         return pa.table([pa.array(r), pa.array(o), pa.array(s.astype(np.float32))], names=["row", "neighbour", "similarity"])
 
-    near = members.groupBy("list").applyInArrow(compare, out_schema)
+    near = members.groupBy("tile").applyInArrow(compare, out_schema)
     order = Window.partitionBy("row").orderBy(F.col("similarity").desc(), "neighbour")
     near = near.groupBy("row", "neighbour").agg(F.max("similarity").alias("similarity"))
     near = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

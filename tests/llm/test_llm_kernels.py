@@ -251,16 +251,33 @@ def test_packing_is_valid_and_tight(sizes):
     assert low <= used <= max(low + 2, int(1.35 * low))
 
 
-def test_centroid_graph_finds_what_a_scan_finds():
+@pytest.mark.parametrize("lists", [1, 2, 10, 100, 600, 3000])
+def test_centroid_graph_finds_what_a_scan_finds(lists):
+    """The graph is searched at every number of centroids, the same way."""
     rng = np.random.default_rng(0)
-    x = rng.normal(size=(3000, 16)).astype(np.float32)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    c = balanced_centroids(x, 600)
-    assert len(c) == 600
+    x = rng.normal(size=(30, 16))[rng.integers(0, 30, 6000)] + 0.4 * rng.normal(size=(6000, 16))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    c = balanced_centroids(x, lists)
+    assert len(c) == lists
     q = x[:300]
-    at, cos = CentroidGraph(c, degree=64, beam=24).search(q, 4)
+    at, cos = CentroidGraph(c).search(q, 4)
     best = (q @ c.T).argmax(1)
-    assert (at[:, 0] == best).mean() > 0.9 and (np.diff(cos, axis=1) <= 1e-6).all()
+    assert (at[:, 0] == best).mean() > 0.9 and (np.diff(cos, axis=1) <= 1e-6).all() and at.shape == (300, min(4, lists))
+    assert all(len(set(r)) == len(r) for r in at.tolist())
+
+
+def test_centroid_graph_memory():
+    """A slice of a search needs few tens of megabytes, whatever the number of centroids."""
+    import tracemalloc
+
+    rng = np.random.default_rng(0)
+    c = rng.normal(size=(16_384, 128)).astype(np.float32)
+    c /= np.linalg.norm(c, axis=1, keepdims=True)
+    graph = CentroidGraph(c, links=rng.integers(0, len(c), (len(c), 24)).astype(np.int32))
+    tracemalloc.start()
+    graph.search(c[:2048], 8)
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
 
 
 def test_best_breaks_ties_by_row():

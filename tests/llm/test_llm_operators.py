@@ -44,8 +44,9 @@ def _pairs(x, rows, k, least):
     return out
 
 
-@pytest.mark.parametrize("list_rows, block", [(1000, 8192), (40, 16)])
-def test_nearest_recall(spark, list_rows, block):
+@pytest.mark.parametrize("list_rows, tile_rows, max_lists", [(1000, 65_536, 100), (40, 65_536, 100), (40, 25, 100), (20, 65_536, 1), (10, 65_536, 2)])
+def test_nearest_recall(spark, list_rows, tile_rows, max_lists):
+    """One list, several, lists cut in tiles, lists divided again within their task."""
     rng = np.random.default_rng(0)
     centres = rng.normal(size=(40, 16))
     x = np.concatenate([c + 0.25 * rng.normal(size=(8, 16)) for c in centres])
@@ -54,13 +55,36 @@ def test_nearest_recall(spark, list_rows, block):
     bad = [(10_000, None), (10_001, [0.0] * 16), (10_002, [1.0] * 15), (10_003, [float("nan")] + [1.0] * 15), (10_004, [float("inf")] + [1.0] * 15), (None, [1.0] * 16)]
     df = spark.createDataFrame([(int(r), v.tolist(), 1, 2.0, "c") for r, v in zip(rows, x)] + [(r, v, 1, 2.0, "c") for r, v in bad], "row_id long, vector array<float>, row int, similarity double, list string")
     for least in (None, 0.8):
-        got = {(r.row_id, r.neighbour) for r in knn.nearest(df, "row_id", "vector", 16, k=5, least=least, list_rows=list_rows, block=block).collect()}
+        got = {(r.row_id, r.neighbour) for r in knn.nearest(df, "row_id", "vector", 16, k=5, least=least, list_rows=list_rows, tile_rows=tile_rows, max_lists=max_lists).collect()}
         want = _pairs(x, rows.tolist(), 5, least or -2)
         assert len(got & want) / len(want) >= 0.9
         if list_rows > len(x):
             assert got == want
 
 
+@pytest.mark.parametrize("list_rows", [1089, 101, 27])
+def test_nearest_recall_on_the_table(spark, list_rows):
+    """The ten nearest of every row whose id 50 divides, whatever the cosine, against all rows: 10, 107 and 400 lists."""
+    df = spark.read.parquet("/root/testdata/sf0.1/doc_embeddings.parquet")
+    got = defaultdict(set)
+    for r in knn.nearest(df, "row_id", "vector", 128, k=10, list_rows=list_rows).where("row_id % 50 = 0").collect():
+        got[r.row_id].add(r.neighbour)
+    rows = [(r.row_id, r.vector) for r in df.collect() if r.vector and len(r.vector) == 128]
+    ids, x = np.array([r for r, _ in rows]), np.array([v for _, v in rows], np.float64)
+    with np.errstate(all="ignore"):
+        norm = np.linalg.norm(x, axis=1)
+    good = np.isfinite(norm) & (norm > 0)
+    ids, x = ids[good], x[good] / norm[good, None]
+    hit = total = 0
+    for i in np.flatnonzero(ids % 50 == 0):
+        s = x @ x[i]
+        s[i] = -2
+        cut = np.sort(s)[-10] - 1e-6  # any of equal rows will do
+        hit += sum(s[np.searchsorted(ids, j)] >= cut if ids[np.searchsorted(ids, j)] == j else False for j in got[ids[i]]) if (np.diff(ids) > 0).all() else sum(s[np.flatnonzero(ids == j)[0]] >= cut for j in got[ids[i]])
+        total += 10
+    assert hit / total >= 0.95, hit / total
+
+
 def test_nearest_ties_and_copies(spark):
     v, w = [1.0, 0.0], [0.8, 0.6]
     df = spark.createDataFrame([(i, v) for i in range(8)] + [(20, w), (21, w)], "row_id long, vector array<float>")
