@@ -89,9 +89,22 @@ def words(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), BLANK), lambda w: w != "")
 
 
+_ANALYSER: list = [None]
+
+
+def plug_analyser(analyse=None) -> None:
+    """Takes ``analyse``, a function from a list of texts to the list of each one's terms, in place of the words without particles; None goes back.
+
+    It runs on whole batches in the workers; every operator that extracts terms
+    uses it.  Texts for which it gives None fall back to their words.
+    """
+    _ANALYSER[0] = analyse and F.pandas_udf(lambda s: pd.Series(analyse(s.fillna("").tolist()), index=s.index), "array<string>")
+
+
 def extract_terms(c: Column) -> Column:
-    """Words without their particles: what is used where no analyser is plugged in."""
-    return F.transform(words(c), strip_particle)
+    """The terms of a text: the plugged analyser's, else the words without their particles."""
+    plain = F.transform(words(c), strip_particle)
+    return plain if _ANALYSER[0] is None else F.coalesce(_ANALYSER[0](c), plain)
 
 
 def student_tokens(c: Column) -> Column:
@@ -207,18 +220,31 @@ def segments(c: Column) -> Column:
     return F.array_distinct(F.filter(parts, lambda s: F.length(s).between(*SEGMENT_LENGTHS) & s.rlike("[가-힣]{2}")))
 
 
+def draw(n: Column, *of) -> Column:
+    """A number from 0 to n - 1 by the MD5 of ``of``, texts or numbers, with a bar between: any engine draws the same."""
+    return F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", *(x.cast("string") if isinstance(x, Column) else F.lit(str(x)) for x in of))), 1, 12), 16, 10).cast("long"), n)
+
+
+def uniform(*of) -> Column:
+    """A number from 0 to 1, without 1, drawn the same way."""
+    return draw(F.lit(1 << 40), *of) / float(1 << 40)
+
+
+def from_code(n: Column) -> Column:
+    """The character of a code below 65,536."""
+    return F.decode(F.unhex(F.lpad(F.hex(n), 4, "0")), "UTF-16BE")
+
+
 def inject_typo(c: Column, seed: Column) -> Column:
-    """One syllable with another vowel or another initial, chosen by a hash of ``seed``; words without Hangul stay."""
+    """One syllable with another vowel or another initial, drawn by ``seed``; words without Hangul stay."""
     chars = F.split(c, "")
     at = F.filter(F.sequence(F.lit(1), F.size(chars)), lambda i: has_hangul(F.element_at(chars, i)))
-    draw = lambda salt, n: F.pmod(F.xxhash64(seed, F.lit(salt)), n)
-    i = F.element_at(at, (draw(1, F.size(at).cast("long")) + 1).cast("int"))
+    i = F.element_at(at, (draw(F.size(at).cast("long"), seed, 1) + 1).cast("int"))
     code = F.ascii(F.element_at(chars, i)) - 0xAC00
     lead, vowel, tail = F.floor(code / 588), F.floor(code % 588 / 28), code % 28
-    other = lambda old, n, salt: (old + 1 + draw(salt, F.lit(n - 1))) % n
-    new_vowel = F.when(draw(2, F.lit(2)) == 0, other(vowel, 21, 3)).otherwise(vowel)
-    new_lead = F.when(draw(2, F.lit(2)) == 1, other(lead, 19, 4)).otherwise(lead)
-    new = F.char_from_code(new_lead * 588 + new_vowel * 28 + tail) if hasattr(F, "char_from_code") else F.decode(F.unhex(F.lpad(F.hex(new_lead * 588 + new_vowel * 28 + tail + 0xAC00), 4, "0")), "UTF-16BE")
+    other = lambda old, n, salt: (old + 1 + draw(F.lit(n - 1), seed, salt)) % n
+    first = draw(F.lit(2), seed, 2) == 0
+    new = from_code(F.when(first, lead).otherwise(other(lead, 19, 4)) * 588 + F.when(first, other(vowel, 21, 3)).otherwise(vowel) * 28 + tail + 0xAC00)
     return F.when(F.size(at) > 0, F.concat(F.substring(c, F.lit(1), i - 1), new, F.substring(c, i + 1, F.length(c)))).otherwise(c)
 
 

@@ -15,9 +15,8 @@ def norm(v: Column) -> Column:
 
 
 def normalize(v: Column) -> Column:
-    """At unit length; zero vectors stay."""
-    n = norm(v)
-    return F.transform(v, lambda x: x / F.when(n > 0, n).otherwise(1.0))
+    """At unit length; zero vectors stay. The norm is a variable of its own, or every element would work it out again."""
+    return F.transform(F.array(norm(v)), lambda n: F.transform(v, lambda x: x / F.when(n > 0, n).otherwise(1.0)))[0]
 
 
 def scale_of(v: Column) -> Column:
@@ -36,10 +35,12 @@ def dequantize(q: Column, scale: Column) -> Column:
 
 
 def mean_pool(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """(key, vector): the unit mean of each key's vectors, by place; partial sums are combined before the shuffle."""
-    means = df.select(key, F.posexplode(vector).alias("at", "x")).groupBy(key, "at").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    placed = means.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("v"))  # as long as one vector
-    return placed.select(key, normalize(F.col("v")).alias(vector))
+    """(key, vector): the unit mean of each key's vectors; partial means are combined before the shuffle."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    means = df.where(F.col(vector).isNotNull()).groupBy(key).agg(Summarizer.mean(array_to_vector(F.col(vector))).alias("v"))
+    return means.select(key, normalize(vector_to_array("v")).alias(vector))
 
 
 def top_k(df: DataFrame, by: list[str], score: str, ties: list[str], k: int) -> DataFrame:

@@ -15,12 +15,15 @@ GATE = {"exact": 0.3, "fallback_only": 0.635}
 def gate(semantic: DataFrame, encoded: DataFrame | None = None, exact: float = GATE["exact"], fallback_only: float = GATE["fallback_only"]) -> DataFrame:
     """The lists whose best score reaches the floor: ``exact`` for queries with a whole-word slot, else ``fallback_only``.
 
-    ``encoded`` has (query_id, exact_slots); without it every query counts as exact.
+    ``encoded`` has (query_id, exact_slots), if the lists themselves do not;
+    without either every query counts as exact.
     """
     top = F.max("score").over(Window.partitionBy("query_id"))
     floor = F.lit(exact)
-    if encoded is not None:
-        semantic = semantic.join(F.broadcast(encoded.select("query_id", "exact_slots")), "query_id", "left")
+    if "exact_slots" in semantic.columns:
+        floor = F.when(F.coalesce("exact_slots", F.lit(0)) > 0, exact).otherwise(fallback_only)
+    elif encoded is not None:
+        semantic = semantic.join(encoded.select("query_id", "exact_slots"), "query_id", "left")
         floor = F.when(F.coalesce("exact_slots", F.lit(0)) > 0, exact).otherwise(fallback_only)
     return semantic.withColumn("_top", top).where(F.col("_top") >= floor).drop("_top", "exact_slots")
 
@@ -43,11 +46,11 @@ def fuse(words: DataFrame, semantic: DataFrame, queries: DataFrame, corrected: D
     distrust = ~F.col("corrected") & strong & (F.coalesce("shared", F.lit(0)) / F.least(F.lit(10), F.col("n")) < 0.3)
     lead = size.join(kw, "query_id", "left").join(shared, "query_id", "left").select("query_id", F.when(F.coalesce(distrust, F.lit(False)), "keyword").otherwise("semantic").alias("led"), (F.coalesce("n", F.lit(0)) > 0).alias("has_words"))
     both = words.withColumn("source", F.lit("keyword")).unionByName(semantic.withColumn("source", F.lit("semantic")), allowMissingColumns=True).select("query_id", "row_id", "score", "rank", "source")
-    placed = both.join(F.broadcast(lead), "query_id").withColumn("second", (F.col("source") != F.col("led")).cast("int"))
+    placed = both.join(lead, "query_id").withColumn("second", (F.col("source") != F.col("led")).cast("int"))
     once = placed.withColumn("_n", F.row_number().over(Window.partitionBy("query_id", "row_id").orderBy("second"))).where("_n = 1")
     some = semantic.select("query_id").distinct().withColumn("reached", F.lit(True))
     order = Window.partitionBy("query_id").orderBy("second", "rank")
-    ranked = once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).join(F.broadcast(some), "query_id", "left")
+    ranked = once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).join(some, "query_id", "left")
     return ranked.select("query_id", "row_id", "score", "source", F.when(F.col("reached"), F.col("led")).otherwise("keyword").alias("tier"), "rank")
 
 

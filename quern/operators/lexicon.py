@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import text as X
+from quern.runtime import numbered
 
 # Hash shards of the lexicon, and the bytes of a pack.
 SHARDS, PACK_BYTES = 256, 4 << 20
@@ -89,5 +90,5 @@ def packs(sizes: DataFrame, most: int = PACK_BYTES) -> DataFrame:
 
 
 def vocabulary_places(df: DataFrame) -> DataFrame:
-    """(term, place) of kept terms in byte order; the vocabulary is bounded by its document-frequency band."""
-    return df.where("kept").select("term", (F.row_number().over(Window.orderBy("term")) - 1).cast("long").alias("place"))
+    """(term, place) of kept terms in byte order."""
+    return numbered(df.where("kept").select("term"), ["term"], "place")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.runtime import materialize
+from quern.functions import text as X
+from quern.runtime import broadcast_below, numbered
 
 
 def best_ranks(scores: DataFrame, relevant: DataFrame) -> DataFrame:
@@ -14,7 +15,7 @@ def best_ranks(scores: DataFrame, relevant: DataFrame) -> DataFrame:
     ``scores`` has (query_id, row_id, score), ``relevant`` (query_id, row_id).
     """
     best = scores.join(relevant, ["query_id", "row_id"], "left_semi").groupBy("query_id").agg(F.max("score").alias("mark"))
-    above = scores.join(F.broadcast(best), "query_id").groupBy("query_id").agg(F.sum((F.col("score") > F.col("mark")).cast("long")).alias("rank"))
+    above = scores.join(broadcast_below(best, 1_000_000), "query_id").groupBy("query_id").agg(F.sum((F.col("score") > F.col("mark")).cast("long")).alias("rank"))
     return relevant.select("query_id").distinct().join(above, "query_id", "left")
 
 
@@ -32,7 +33,7 @@ def bootstrap_interval(ranks: DataFrame, value, resamples: int = 2000, seed: int
     """
     spark = ranks.sparkSession
     rows = ranks.select("query_id", value(F.col("rank")).alias("v"))
-    u = F.pmod(F.xxhash64("query_id", "b", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+    u = X.uniform(F.col("query_id"), F.col("b"), seed)
     steps, total, p = [], 0.0, 0.36787944117144233
     for k in range(1, 9):
         total += p
@@ -59,20 +60,12 @@ def agreement(a: DataFrame, b: DataFrame, k: int = 10) -> DataFrame:
 
 def floor_percentiles(df: DataFrame, value: str, at: list[float]) -> DataFrame:
     """(q, value): the element at place floor(q * (n - 1)) of the ascending values, by rank without gathering them."""
-    ranked = _ranked(df, value)
+    ranked = numbered(df.where(F.col(value).isNotNull()).select(F.col(value).alias("value")), ["value"], "place")
     n = ranked.agg(F.count("*").alias("n"))
     wanted = df.sparkSession.createDataFrame([(float(q),) for q in at], "q double").join(n, F.lit(True)).select("q", F.floor(F.col("q") * (F.col("n") - 1)).alias("place"))
     return ranked.join(F.broadcast(wanted), "place").select("q", "value")
 
 
-def _ranked(df: DataFrame, value: str) -> DataFrame:
-    """(value, place): rows are range-partitioned once; each part is numbered by itself, from where the parts before it end."""
-    parts = materialize(df.where(F.col(value).isNotNull()).select(F.col(value).alias("value")).repartitionByRange("value").withColumn("part", F.spark_partition_id()))
-    sizes = parts.groupBy("part").agg(F.count("*").alias("c"))
-    before = sizes.withColumn("from", F.coalesce(F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row for each part
-    return parts.join(F.broadcast(before), "part").select("value", (F.col("from") + F.row_number().over(Window.partitionBy("part").orderBy("value")) - 1).alias("place"))
-
-
 def propose_gate(probes: DataFrame, relevant: DataFrame) -> DataFrame:
     """(exact, fallback_only): floors from the top scores of probes that must fail and of queries that must pass."""
     p = probes.agg(F.max("top").alias("p"))

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions import text as X
 from quern.functions.vectors import dot, normalize, top_k
 from quern.operators import graph
 from quern.runtime import materialize
@@ -22,13 +23,16 @@ def random_walks(adjacent: DataFrame, walks: int = 10, length: int = 80, seed: i
     sum of weights, cut by a hash of the walk and the step.  So the graph need
     not fit a worker; paths are cut from lineage every few steps.
     """
-    order = Window.partitionBy("src").orderBy("dst").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("src").orderBy("dst")
     total = F.sum("weight").over(Window.partitionBy("src"))
-    steps = materialize(adjacent.where("weight > 0").withColumn("hi", F.sum("weight").over(order) / total).withColumn("lo", F.col("hi") - F.col("weight") / total).select(F.col("src").alias("at"), "dst", "lo", "hi"))
+    upto = F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, 0)) / total
+    # Shares follow one another without a gap and the last ends at 1, so a draw meets one edge and no other.
+    marked = adjacent.where("weight > 0").withColumn("hi", F.when(F.lead("dst").over(order).isNull(), 1.0).otherwise(upto))
+    steps = materialize(marked.select(F.col("src").alias("at"), "dst", F.coalesce(F.lag("hi").over(order), F.lit(0.0)).alias("lo"), "hi"))
     now = steps.select(F.col("at").alias("start")).distinct().withColumn("walk", F.explode(F.sequence(F.lit(0), F.lit(walks - 1)))).select("start", "walk", F.col("start").alias("at"), F.array("start").alias("path"))
     for s in range(1, length):
         u = F.pmod(F.xxhash64("start", "walk", F.lit(s), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-        moved = now.withColumn("u", u).join(steps, "at", "left").where("dst IS NULL OR (u >= lo AND u < hi) OR (hi > 0.9999999 AND u >= hi)")
+        moved = now.withColumn("u", u).join(steps, "at", "left").where("dst IS NULL OR (u >= lo AND u < hi)")
         now = moved.select("start", "walk", F.coalesce("dst", "at").alias("at"), F.when(F.col("dst").isNotNull(), F.concat("path", F.array("dst"))).otherwise(F.col("path")).alias("path"))
         if s % 8 == 0:
             now = materialize(now)
@@ -53,8 +57,8 @@ def related(hits: DataFrame, meta: DataFrame | None = None, k: int = 10) -> Data
 
 
 def hold_out(links: DataFrame, share: float = 0.15, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(kept, hidden) edges, by a hash of both ends."""
-    mark = F.pmod(F.xxhash64(F.least("src", "dst"), F.greatest("src", "dst"), F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)
+    """(kept, hidden) edges, by the MD5 of both ends."""
+    mark = X.uniform(F.least("src", "dst"), F.greatest("src", "dst"), seed) < share
     return links.where(~mark), links.where(mark)
 
 

@@ -16,6 +16,7 @@ from quern.functions import text as X
 from quern.operators import benchmark, distill, encoder, fusion, graph, index, keyword, lexicon, metrics, related
 from quern.plans import oracle
 from quern.sources import articles as A
+from quern.runtime import materialize
 from quern.sources import assets
 from quern.streaming import changes
 
@@ -40,8 +41,8 @@ def _terms(spark, d):
     return A.clean_terms(_read(spark, d, "doc_terms")).join(kept.select("row_id"), "row_id", "left_semi")
 
 
-def _queries(spark):
-    return spark.createDataFrame(oracle.QUERIES, "query_id long, text string")
+def _queries(spark, d):
+    return benchmark.query_set(_read(spark, d, "articles"))
 
 
 def _embeddings(spark, d):
@@ -53,27 +54,27 @@ def _asked(e):
 
 
 def literal_title_search(spark, d):
-    return keyword.literal_hits(_queries(spark), _meta(spark, d))
+    return keyword.literal_hits(_queries(spark, d), _meta(spark, d))
 
 
 def keyword_search_substring(spark, d):
-    return keyword.substring_search(_queries(spark), _meta(spark, d)).select("query_id", "row_id", F.round("score", 6).alias("score"), "rank")
+    return keyword.substring_search(_queries(spark, d), _meta(spark, d)).select("query_id", "row_id", F.round("score", 6).alias("score"), "rank")
 
 
 def keyword_search_terms(spark, d):
-    return keyword.keyword_search(_queries(spark), _meta(spark, d), _terms(spark, d)).select("query_id", "row_id", F.round("score", 6).alias("score"), "rank")
+    return keyword.keyword_search(_queries(spark, d), _meta(spark, d), _terms(spark, d)).select("query_id", "row_id", F.round("score", 6).alias("score"), "rank")
 
 
 def search_exact(spark, d):
-    return fusion.search(_queries(spark), _meta(spark, d), _terms(spark, d), exact_mode=True).select("query_id", "row_id", "score", "source", "tier", "rank")
+    return fusion.search(_queries(spark, d), _meta(spark, d), _terms(spark, d), exact_mode=True).select("query_id", "row_id", "score", "source", "tier", "rank")
 
 
 def query_interpretations(spark, d):
-    return keyword.interpretations(_queries(spark)).select("query_id", "interp", F.array_join("terms", " ").alias("terms"))
+    return keyword.interpretations(_queries(spark, d)).select("query_id", "interp", F.array_join("terms", " ").alias("terms"))
 
 
 def spelling_correction(spark, d):
-    return keyword.correct(_queries(spark), _meta(spark, d), keyword.vocabulary(_terms(spark, d)))
+    return keyword.correct(_queries(spark, d), _meta(spark, d), keyword.vocabulary(_terms(spark, d)))
 
 
 def tag_counts(spark, d):
@@ -85,7 +86,7 @@ def tag_index(spark, d):
 
 
 def tag_match(spark, d):
-    return keyword.match_tags(_queries(spark), keyword.tag_counts(_meta(spark, d)))
+    return keyword.match_tags(_queries(spark, d), keyword.tag_counts(_meta(spark, d)))
 
 
 def doc_meta(spark, d):
@@ -136,8 +137,9 @@ def student_tokens(spark, d):
 
 
 def near_dup_jaccard(spark, d):
-    tokens = lambda df, key, text: df.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), X.words(F.col(text)).alias("tokens"))
-    return distill.near_duplicates(tokens(_read(spark, d, "articles"), "row_id", "title"), tokens(_read(spark, d, "documents"), "doc_id", "title"), 0.3).withColumn("jaccard", F.round("jaccard", 6))
+    """Titles as training items against the titles of every fiftieth row as evaluation items."""
+    items = _read(spark, d, "articles").where("title IS NOT NULL").select(F.col("row_id").alias("id"), X.words(F.col("title")).alias("tokens"))
+    return distill.near_duplicates(items, _asked(items), 0.6).withColumn("jaccard", F.round("jaccard", 6))
 
 
 def quantize_int8(spark, d):
@@ -164,10 +166,26 @@ def centroid_pool(spark, d):
     return vectors.mean_pool(_embeddings(spark, d), "label", "embedding").select("label", F.posexplode("embedding").alias("at", "x")).withColumn("x", F.round("x", 5))
 
 
+def _linked(spark, d):
+    """Articles as a site shows them: behind the content, links to the ten related ones, by slug or by identifier."""
+    r = _read(spark, d, "related").where("src != id AND score IS NOT NULL AND NOT isnan(score)")
+    top = vectors.top_k(r.groupBy("src", "id").agg(F.max("score").alias("score"), F.max("slug").alias("to")), ["src"], "score", ["id"], 10)
+    url = F.coalesce(F.concat(F.lit(f"https://{HOST}/view/"), "to"), F.concat(F.lit(f"https://{HOST}/view?uid="), "id"))
+    links = top.groupBy("src").agg(F.array_join(F.sort_array(F.collect_list(url)), "\n").alias("links")).withColumnRenamed("src", "id")  # ten
+    return _articles(spark, d).join(links, "id", "left").withColumn("content", F.concat_ws("\n", "content", "links")).drop("links")
+
+
 def _graph(spark, d):
-    a = _articles(spark, d)
-    nodes, edges = graph.attribute_edges(a)
-    return nodes, edges.unionByName(graph.link_edges(graph.link_targets(a, HOST)))
+    return graph.build(_linked(spark, d), HOST)
+
+
+def graph_build(spark, d):
+    """Edges of the whole graph by type: attributes, links, boards' categories as series, and neighbours of the fiftieth articles."""
+    a, v = _linked(spark, d), _doc_vectors(spark, d)
+    series = a.where("category IS NOT NULL").groupBy(F.col("category").alias("id")).agg(F.min("category").alias("name"), F.collect_set("id").alias("articles"))
+    near = graph.block_top_k(v.where("row_id % 50 = 0"), v, "id", "vector", 10, exclude_self=True)
+    nodes, edges = graph.build(a, HOST, series, near)
+    return edges.groupBy("type").agg(F.count("*").alias("n"), F.countDistinct("src").alias("sources"), F.round(F.sum("weight"), 1).alias("weight"))
 
 
 def attribute_edges(spark, d):
@@ -179,7 +197,7 @@ def graph_nodes(spark, d):
 
 
 def link_targets(spark, d):
-    return graph.link_targets(_articles(spark, d), HOST).groupBy("resolved").agg(F.count("*").alias("n"))
+    return graph.link_targets(_linked(spark, d), HOST).groupBy("resolved").agg(F.count("*").alias("n"))
 
 
 def edge_merge(spark, d):
@@ -208,9 +226,11 @@ def find_nodes(spark, d):
 
 
 def beam_bfs(spark, d):
-    e = _embeddings(spark, d)
-    edges = graph.knn_edges(graph.self_top_k(e, "id", "embedding", 10), 0.2)
-    return graph.beam_search(_asked(e), graph.adjacency(edges), e.select("id", F.col("embedding").alias("vector"))).withColumn("score", F.round("score", 4))
+    """From every fiftieth article through its tags, authors, category, board and links; such a node's vector is its articles' mean."""
+    adjacent = materialize(graph.adjacency(_graph(spark, d)[1]))
+    v = materialize(_doc_vectors(spark, d).select(F.concat(F.lit("a:"), "id").alias("id"), "row_id", "vector"))
+    every = materialize(graph.node_vectors(adjacent, v))
+    return graph.beam_search(v.where("row_id % 50 = 0").select("id"), adjacent, every, returned=v).withColumn("score", F.round("score", 4))
 
 
 def related_articles(spark, d):
@@ -235,7 +255,7 @@ def _ranks(e):
 
 
 def bootstrap_ci(spark, d):
-    return metrics.bootstrap_interval(_ranks(_embeddings(spark, d)), lambda r: 1 / (r + 1))
+    return metrics.bootstrap_interval(_ranks(_embeddings(spark, d)), lambda r: 1 / (r + 1)).select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
 def top10_agreement(spark, d):
@@ -306,30 +326,87 @@ def query_synthesis(spark, d):
 
 
 def encoder_slots(spark, d):
-    return encoder.slots(_queries(spark), _vocabulary(spark, d)).select("query_id", "slot", "kind", "term")
+    return encoder.slots(_queries(spark, d), _vocabulary(spark, d)).select("query_id", "slot", "kind", "term")
 
 
 def _vocabulary(spark, d):
+    """(term, place, idf) of the terms of at least two documents and at most three fifths of them."""
     t = _terms(spark, d).select("id", F.array_distinct(F.concat("t", "r")).alias("x"))
     df = t.select("id", F.explode("x").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     n = t.count()
-    return lexicon.vocabulary_places(df.withColumn("kept", (F.col("df") >= 2) & (F.col("df") <= 0.6 * n) & (F.length("term") >= 2)))
+    df = df.withColumn("kept", (F.col("df") >= 2) & (F.col("df") <= 0.6 * n) & (F.length("term") >= 2))
+    return lexicon.vocabulary_places(df).join(df.select("term", (F.log((F.lit(n) + 1) / (F.col("df") + 1)) + 1).alias("idf")), "term")
+
+
+def _doc_vectors(spark, d):
+    """(row_id, id, vector) of the articles: the first usable vector of each id, at unit length."""
+    usable = (F.size("vector") == 128) & ~F.exists("vector", F.isnan) & F.exists("vector", lambda x: x != 0)
+    v = _read(spark, d, "doc_embeddings").where("vector IS NOT NULL").where(usable)
+    first = v.join(v.groupBy("id").agg(F.min("row_id").alias("row_id")).select("row_id"), "row_id", "left_semi").select("id", vectors.normalize(F.col("vector")).alias("vector"))
+    return first.join(_articles(spark, d).select("id", "row_id"), "id")
+
+
+def _term_vectors(spark, d, vocabulary):
+    """(place, idf, vector): what the documents that hold a term have in common, the mean of their vectors."""
+    held = _terms(spark, d).select("row_id", F.explode(F.array_distinct(F.concat("t", "r"))).alias("term")).join(vocabulary.select("term", "place"), "term")
+    pooled = vectors.mean_pool(held.join(_doc_vectors(spark, d), "row_id").select("place", "vector"), "place", "vector")
+    return vocabulary.select("place", "idf").join(pooled, "place", "left")
+
+
+def _student(spark, d, vocabulary, most: int = 2_000_000):
+    """An encoder whose terms are weighted by idf; its vocabulary is what the driver holds, up to ``most`` terms."""
+    rows = _term_vectors(spark, d, vocabulary).limit(most + 1).toPandas()
+    if len(rows) > most:
+        raise ValueError(f"the vocabulary has more than {most} terms: narrow its document-frequency band")
+    v, scale = np.zeros((len(rows), 128)), np.zeros(len(rows))
+    for place, idf, x in rows.itertuples(index=False):
+        scale[place] = idf
+        if x is not None:
+            v[place] = x
+    return encoder.Student(v, [encoder.Member(scale, np.eye(128), np.zeros(128))])
+
+
+def _semantic(spark, d):
+    """Queries to ranked documents by the encoder, with how many of their slots are whole words."""
+    vocabulary = materialize(_vocabulary(spark, d))
+    student, docs = _student(spark, d, vocabulary), materialize(_doc_vectors(spark, d))
+
+    def run(queries):
+        return encoder.search(encoder.encode(encoder.slots(queries, vocabulary), student), docs.select("row_id", "vector"), k=20)
+
+    return run
+
+
+def student_search(spark, d):
+    return _semantic(spark, d)(_queries(spark, d)).select("query_id", "row_id", F.round("score", 4).alias("score"), "rank", "exact_slots").where("score > 0")
 
 
-def hashed_vectors(words: list[str], dim: int = 32) -> np.ndarray:
-    """A stand-in for a teacher: unit vectors from a hash of each word."""
-    out = np.zeros((len(words), dim), np.float32)
-    for i, w in enumerate(words):
-        seed = int.from_bytes(w.encode()[:8].ljust(8, b"\0"), "little") % (2**32)
-        out[i] = np.random.default_rng(seed).normal(size=dim)
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+def search_semantic(spark, d):
+    """The whole search: keyword and encoder lists, correction, the gate with its two floors, fusion."""
+    return fusion.search(_queries(spark, d), _meta(spark, d), _terms(spark, d), _semantic(spark, d)).withColumn("score", F.round("score", 4))
 
 
 def student_encode(spark, d):
-    words = [r.term for r in _vocabulary(spark, d).orderBy("place").toLocalIterator()]
-    v = hashed_vectors(words)
-    student = encoder.Student(v, [encoder.Member(np.ones(len(words)), np.eye(v.shape[1]), np.zeros(v.shape[1]))])
-    return encoder.encode(encoder.slots(_queries(spark), _vocabulary(spark, d)), student)
+    """The queries by an encoder distilled from the documents' own vectors: titles are its training queries."""
+    return distilled(spark, d)[1]
+
+
+def distilled(spark, d, sample: int = 2000, **how):
+    """(untrained, encoded queries of the trained encoder, trained): fitted on at most ``sample`` titles and their documents' vectors."""
+    vocabulary = materialize(_vocabulary(spark, d))
+    student = _student(spark, d, vocabulary)
+    titles = benchmark.sample(_articles(spark, d).join(_doc_vectors(spark, d).select("row_id", "vector"), "row_id").where("title IS NOT NULL"), "row_id", sample)
+    own = materialize(titles.select(F.col("row_id").alias("query_id"), F.col("title").alias("text"), "vector"))
+    slots = encoder.slots(own.select("query_id", "text"), vocabulary).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("slot", "place", "kind"))).alias("s"))
+    rows = own.join(slots, "query_id").orderBy("query_id").toPandas()  # at most ``sample``
+    pooled = [(np.array([x["place"] for x in s]), np.array([x["kind"] == "fb" for x in s])) for s in rows["s"]]
+    docs = np.stack(rows["vector"].to_list()).astype(np.float64) if len(rows) else np.zeros((0, 128))
+    if not len(rows):
+        return student, encoder.encode(encoder.slots(_queries(spark, d), vocabulary), student), student
+    held = np.arange(len(rows)) % 10 == 0
+    taught = encoder.Student(student.vectors)
+    distill.train(pooled, docs, docs, np.arange(len(rows)), taught, student.members[0].term_scale, held, **({"epochs": 8, "seeds": (0,)} | how))
+    return student, encoder.encode(encoder.slots(_queries(spark, d), vocabulary), taught), taught
 
 
 def random_walks(spark, d):
@@ -353,7 +430,7 @@ def eval_items(spark, d):
 
 
 def slot_coverage(spark, d):
-    return metrics.coverage(_queries(spark), encoder.slots(_queries(spark), _vocabulary(spark, d))).withColumn("covered", F.round("covered", 4))
+    return metrics.coverage(_queries(spark, d), encoder.slots(_queries(spark, d), _vocabulary(spark, d))).withColumn("covered", F.round("covered", 4))
 
 
 def latest_rows(spark, d):
@@ -363,9 +440,9 @@ def latest_rows(spark, d):
 
 NAMES = """literal_title_search keyword_search_substring keyword_search_terms search_exact query_interpretations spelling_correction tag_counts tag_index tag_match doc_meta
 clean_markdown strip_html_body clean_titles title_keywords content_segments chunk_documents passages vocab_df_idf bigram_vocab student_tokens near_dup_jaccard quantize_int8
-dequantize_error cosine_topk knn_edges centroid_pool attribute_edges graph_nodes link_targets edge_merge degree graph_counts drawing_edges neighbours_by_type find_nodes beam_bfs
+dequantize_error cosine_topk knn_edges centroid_pool attribute_edges graph_nodes graph_build link_targets edge_merge degree graph_counts drawing_edges neighbours_by_type find_nodes beam_bfs
 related_articles fuse_rank mrr_recall bootstrap_ci top10_agreement gate_calibration floor_percentiles source_digest fnv_shard shard_packs lexicon_candidates hangul_jamo
-term_score_hangul strip_particles bench_variants bench_typos keyword_covered query_synthesis encoder_slots student_encode random_walks word2vec_graph layout eval_items slot_coverage latest_rows""".split()
+term_score_hangul strip_particles bench_variants bench_typos keyword_covered query_synthesis encoder_slots student_search search_semantic student_encode random_walks word2vec_graph layout eval_items slot_coverage latest_rows""".split()
 
 
 def queries() -> dict:

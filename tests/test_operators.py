@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import vectors
-from quern.operators import distill, encoder, fusion, graph, index, keyword, lexicon, metrics, related
+from quern.operators import benchmark, distill, encoder, fusion, graph, index, keyword, lexicon, metrics, related
 from quern.runtime import materialize
 from quern.sources import articles as A
 
@@ -83,26 +83,35 @@ def test_beam_search_equals_a_loop(spark):
     assert len(top) == 6 and max(r["rank"] for r in top) == 3
 
 
-def test_registered_beam_search_keeps_128(spark, data):
+def test_registered_beam_search_walks_the_article_graph(spark, data):
+    """The query against a loop over the same graph: beam of 128, nodes without a vector of their own at their neighbours' mean."""
     from quern.plans import catalog
 
-    e = catalog._embeddings(spark, data)
-    near = {}
-    for r in graph.adjacency(graph.knn_edges(graph.self_top_k(e, "id", "embedding", 10), 0.2)).collect():
+    near, vec = {}, {}
+    for r in catalog._graph(spark, data)[1].select("src", "dst").distinct().collect():
         near.setdefault(r.src, set()).add(r.dst)
-    x = {r.id: np.array(r.embedding, np.float64) for r in e.collect()}
+        near.setdefault(r.dst, set()).add(r.src)
+    asked = []
+    for r in catalog._doc_vectors(spark, data).collect():
+        vec["a:" + r.id] = np.array(r.vector)
+        if r.row_id % 50 == 0:
+            asked.append("a:" + r.id)
+    own = set(vec)
+    for n in near.keys() - own:
+        if around := [vec[m] for m in near[n] if m in own]:
+            mean = np.mean(around, axis=0)
+            vec[n] = mean / np.linalg.norm(mean)
     want = {}
-    for src in (i for i in x if i % 50 == 0):
+    for src in asked:
         seen, front = {src}, [src]
         for d in range(4):
-            new = {v for u in front for v in near.get(u, ())} - seen
+            new = {v for u in front for v in near.get(u, ()) if v in vec} - seen
             seen |= new
-            score = {v: float(x[src] @ x[v]) * 0.9**d for v in new}
-            want |= {(src, v): (d, score[v]) for v in new}
+            score = {v: float(vec[src] @ vec[v]) * 0.9**d for v in new}
+            want |= {(src, v): d for v in new if v in own}
             front = sorted(new, key=lambda v: (-round(score[v], 6), v))[:128]
-    got = {(r.src, r.id): (r.level, r.score) for r in catalog.beam_bfs(spark, data).collect()}
-    assert got.keys() == want.keys()
-    assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-4 for k in want)
+    got = {(r.src, r.id): r.level for r in catalog.beam_bfs(spark, data).collect()}
+    assert got == want and len(got) > 50
 
 
 def test_walks_follow_edges(spark):
@@ -326,7 +335,7 @@ def test_json_articles_and_change_stream(spark, tmp_path):
     changes.keep_latest(changes.new_articles(spark, str(src)), table, check).awaitTermination()
     put("2", "c")
     changes.keep_latest(changes.new_articles(spark, str(src)), table, check).awaitTermination()
-    now = spark.read.parquet(spark.read.text(f"{table}/current").first()[0])
+    now = spark.read.parquet(table)
     assert {(r.id, r.title) for r in now.collect()} == {("1", "a"), ("2", "c")}
     assert changes.changed(A.read_json(spark, str(src)), ["id", "title"], str(tmp_path / "mark"))
 
@@ -477,3 +486,168 @@ def test_assets(spark, tmp_path):
     sinks.write_graph(nodes, edges, str(tmp_path / "graph"))
     n, e = assets.read_graph(spark, str(tmp_path / "graph"))
     assert n.first().label == "A" and e.first().weight == 0.5
+
+
+@pytest.mark.parametrize("least", [1, 2])
+def test_containing_equals_a_loop(spark, least):
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("가나다ab ", k=rng.randint(0, 9))) for _ in range(200)] + ["", "가"]
+    needles = {"".join(rng.choices("가나다ab", k=rng.randint(least, 4))) for _ in range(40)} | {"없다"}
+    got = {(r.needle, r.i) for r in keyword.containing(spark.createDataFrame([(n,) for n in needles], "needle string"), spark.createDataFrame(list(enumerate(texts)), "i long, text string")).collect()}
+    assert got == {(n, i) for n in needles for i, t in enumerate(texts) if n in t}
+
+
+def test_term_matches_equal_all_pairs(spark, data):
+    """No match is lost by meeting in equi joins: edits at any place, beginnings, parts, particles; golden queries among the terms."""
+    from quern.functions import hangul
+    from quern.plans import oracle
+
+    words = sorted({w.strip().lower() for r in spark.read.parquet(f"{data}/doc_terms.parquet").select(F.explode(F.concat("t", "r")).alias("w")).where("w IS NOT NULL").collect() for w in [r.w] if w.strip()})
+    rng = random.Random(0)
+    terms = {t for _, q in oracle.QUERIES for t in [*q.lower().split(), "".join(q.lower().split())] if t} | {"나", "나라", "ab", "a"} | {x for p in oracle.PAIRS for x in p}
+    for w in rng.sample(words, 60):
+        ls = list(w)
+        i = rng.randrange(len(ls))
+        if "가" <= ls[i] <= "힣":
+            ls[i] = chr(0xAC00 + (ord(ls[i]) - 0xAC00 + 28 * rng.randint(0, 3) + rng.randint(0, 2)) % 11172)
+        new = "".join(ls)
+        terms |= {new, new[: max(1, len(new) - rng.randint(0, 3))], new + rng.choice(["은", "이나", "합니다", "x"]), new + rng.choice(words), new[:i] + new[i + 1 :]}
+    terms.discard("")
+    want = {(t, w, hangul.term_score(t, w)) for t in terms for w in words if hangul.term_score(t, w)}
+    df = keyword.term_matches(spark.createDataFrame([(t,) for t in terms], "term string"), spark.createDataFrame([(w, 1) for w in words], "word string, extra int"))
+    assert {(r.term, r.word, r.score) for r in df.collect()} == want and len(want) > 100
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("NestedLoop") + plan.count("CartesianProduct") <= 2  # one row with the longest length, in the plan before and after it adapts
+
+
+def test_golden_queries(spark):
+    """The stated cases of correction, literal titles and particles."""
+    titles = ["세금 인상안의 그늘", "사유재산과 자유", "혈당 이야기", "물가 환율 그리고 통화"]
+    a = spark.createDataFrame([(i, f"d{i}", t, None, None, ("n", "s"), None, ["자유"], None, None, None, None, None, None) for i, t in enumerate(titles)], "row_id long, " + A.ARTICLE.replace("id string", "id string"))
+    meta = A.doc_meta(a)
+    terms = A.term_lists(meta).join(meta.select("row_id", "id"), "row_id")
+    q = spark.createDataFrame([(1, "쎄금"), (2, "사유재솬"), (3, "세 금"), (4, "혈당은 이야기를"), (5, "세금 인상안"), (6, "  "), (7, "환율")], "query_id long, text string")
+    fixed = {r.query_id: r.corrected for r in keyword.correct(q, meta, keyword.vocabulary(terms)).collect()}
+    assert fixed == {1: "세금", 2: "사유재산", 3: "세금"}
+    hits = {(r.query_id, r.row_id): r.score for r in keyword.keyword_search(q, meta, terms).collect()}
+    assert hits[5, 0] == 1.5 and hits[7, 3] == 1.5 and hits[1, 0] == 0.7 and not any(k == 6 for k, _ in hits)
+
+
+def test_query_set(spark):
+    rows = [(50 * k, f"d{k}", "긴낱말하나 그리고 다른낱말둘", ["가", None, "나"]) for k in range(6)] + [(300, "x", "한낱말", []), (51, "y", "빠지는 행", None), (350, "z", "하나", None)]
+    got = {r.query_id: r.text for r in benchmark.query_set(spark.createDataFrame(rows, "row_id long, id string, title string, tags array<string>")).collect()}
+    assert got == {0: "긴낱말하나 그리고 다른낱말둘", 50: "긴낱말하나 다른낱말둘", 100: "긷낱말하나 다른낱말둘".replace("긷", chr(0xAC00 + (ord("긴") - 0xAC00 + 28) % 11172)), 150: "긴낱 말하나 다른낱말둘", 200: "긴낱말하나다른낱말둘", 250: "가", 300: "한낱말", 350: "하나"}
+
+
+def test_gate_floor_of_fallback_queries(spark):
+    sem = spark.createDataFrame([(1, 10, 0.5, 1, 0), (2, 11, 0.5, 1, 2), (3, 12, 0.7, 1, 0), (4, 13, 0.2, 1, 3)], "query_id long, row_id long, score double, rank int, exact_slots long")
+    assert {r.query_id for r in fusion.gate(sem).collect()} == {2, 3}
+    assert {r.query_id for r in fusion.gate(sem.drop("exact_slots")).collect()} == {1, 2, 3}
+    assert {r.query_id for r in fusion.gate(sem.drop("exact_slots"), sem.select("query_id", "exact_slots")).collect()} == {2, 3}
+
+
+def test_numbered_places(spark):
+    from quern.runtime import exists, numbered, sweep
+
+    df = spark.range(1000).select((F.col("id") * 37 % 1000).alias("x"))
+    assert sorted((r.x, r.n) for r in numbered(df, ["x"], "n").collect()) == [(i, i) for i in range(1000)]
+    assert numbered(df.limit(0), ["x"], "n").count() == 0
+    at = materialize(df)
+    path = at.inputFiles()[0].rsplit("/", 1)[0]
+    assert exists(spark, path) and sweep(spark) > 0 and not exists(spark, path)
+
+
+def test_keep_latest_by_time(spark, tmp_path):
+    from quern.streaming import changes
+
+    src, table = tmp_path / "in", str(tmp_path / "table")
+    src.mkdir()
+    put = lambda i, t, at, n: (src / f"{n}.json").write_text(json.dumps({"id": i, "title": t, "updated": at}))
+    run = lambda: changes.keep_latest(changes.new_articles(spark, str(src)), table, str(tmp_path / "check"), buckets=4).awaitTermination()
+    put("a", "new", "2024-02-01", 1), put("a", "older", "2024-01-01", 2), put("b", "first", None, 3), put("c", "same", "2024-01-01", 4)
+    run()
+    put("a", "late and old", "2023-01-01", 5), put("b", "second", "2020-01-01", 6), put("d", "only", None, 7), put("c", "same again", "2024-01-01", 8)
+    run()
+    assert {r.id: r.title for r in spark.read.parquet(table).collect()} == {"a": "new", "b": "second", "c": "same again", "d": "only"}
+
+
+def test_training_with_lexicon_and_hidden_documents(tmp_path, spark):
+    """The lexicon's weight is trained, hidden documents are no columns, every row is met once an epoch, members go to checkpoints."""
+    from quern.sources import sinks
+
+    rng = np.random.default_rng(0)
+    words, lex = rng.normal(size=(30, 8)), rng.normal(size=(5, 8))
+    docs = rng.normal(size=(40, 8))
+    docs /= np.linalg.norm(docs, axis=1, keepdims=True)
+    pooled = [(np.array([i % 30, i % 5]), np.array([False, False]), np.array([False, True])) for i in range(40)]
+    student = encoder.Student(words, lexicon=lex)
+    hidden = np.arange(40) % 8 == 0
+    distill.train(pooled, docs, docs, np.arange(40), student, np.ones(30), np.arange(40) % 5 == 0, epochs=3, batch=7, seeds=(0, 3), hidden=hidden, on_member=lambda seed, m: sinks.write_checkpoint(spark, seed, m, str(tmp_path / "ck")))
+    begun = np.log(41) + 1
+    assert len(student.members) == 2 and all(abs(m.ext_weight - begun) > 1e-4 for m in student.members)
+    back = sinks.read_checkpoints(spark, str(tmp_path / "ck"))
+    assert [s for s, _ in back] == [0, 3] and all(np.allclose(m.w, x.w) and m.ext_weight == x.ext_weight for (_, m), x in zip(back, student.members))
+    slots = spark.createDataFrame([(1, 0, "core", "w", 2), (1, 1, "ext", "x", 3)], "query_id long, slot int, kind string, term string, place long")
+    assert abs(np.linalg.norm(encoder.encode(slots, student).first().vector) - 1) < 1e-5
+
+
+def test_distilled_student_beats_the_untrained_one(spark):
+    """Held-out titles find their document higher after training."""
+    from quern.plans import catalog
+
+    d = "/root/testdata/sf0.01"
+    before, _, after = catalog.distilled(spark, d, sample=800, epochs=6)
+    vocabulary, docs = materialize(catalog._vocabulary(spark, d)), materialize(catalog._doc_vectors(spark, d))
+    asked = catalog._articles(spark, d).where("row_id % 7 = 0").select(F.col("row_id").alias("query_id"), F.col("title").alias("text"))
+    slots = materialize(encoder.slots(asked, vocabulary))
+    found = []
+    for s in (before, after):
+        hits = encoder.search(encoder.encode(slots, s), docs.select("row_id", "vector"), k=20)
+        found.append(hits.where("query_id = row_id").agg(F.sum(1 / F.col("rank"))).first()[0])
+    assert found[1] > 0.9 * found[0] > 0
+
+
+def test_writers_of_vectors_packs_and_places(spark, tmp_path):
+    from quern.sources import assets, sinks
+
+    x, df = _e(spark, 30)
+    files = sinks.write_npz(df.repartition(3), str(tmp_path / "npz"))
+    assert files.agg(F.sum("rows")).first()[0] == 30
+    back = {r.id: r.vector for r in assets.read_npz(spark, str(tmp_path / "npz")).collect()}
+    assert len(back) == 30 and np.allclose(back["7"], x[7])
+    terms = lexicon.shards(spark.createDataFrame([(f"낱말{i}",) for i in range(300)], "term string"))
+    packs = lexicon.packs(terms.groupBy("shard").agg(F.sum(F.octet_length("term")).cast("long").alias("bytes")), 500)
+    for _ in range(2):
+        sinks.write_packs(terms, packs, str(tmp_path / "packs"))
+    assert spark.read.parquet(str(tmp_path / "packs" / "packs")).count() == 300 and spark.read.parquet(str(tmp_path / "packs" / "index")).count() == packs.count()
+    sinks.write_layout(spark.createDataFrame([("a", 0.5, 1.0)], "id string, x double, y double"), str(tmp_path / "layout"))
+    assert spark.read.json(str(tmp_path / "layout")).first().x == 0.5
+
+
+def test_analyser_plug(spark):
+    from quern.functions import text as X
+
+    df = spark.createDataFrame([("세금은 오른다",), (None,)], "t string")
+    try:
+        X.plug_analyser(lambda texts: [[w[:2] for w in t.split()] for t in texts])
+        assert df.select(X.extract_terms(F.col("t")).alias("x")).first().x == ["세금", "오른"]
+    finally:
+        X.plug_analyser(None)
+    assert df.select(X.extract_terms(F.col("t")).alias("x")).first().x == ["세금", "오른다"]
+
+
+def test_whole_graph_and_training_set(spark):
+    a = spark.createDataFrame([("1", "가", "https://h/x/two", "one", ["t"], "c"), ("2", "나", None, "two", ["t"], "c"), ("3", "다", "https://h/x?uid=1", None, None, None)], "id string, title string, content string, slug string, tags array<string>, category string")
+    a = a.selectExpr("cast(id as bigint) as row_id", "*", "cast(null as array<struct<name:string,slug:string,role:string>>) as contributors", "cast(null as struct<name:string,slug:string>) as board")
+    series = spark.createDataFrame([("s", "연재", ["1", "3", "9"]), ("z", "하나", ["2"])], "id string, name string, articles array<string>")
+    near = spark.createDataFrame([("1", "2", 0.9, 1), ("2", "1", 0.9, 1), ("1", "3", 0.1, 2)], "query string, id string, score double, rank int")
+    nodes, edges = graph.build(a, "h", series, near)
+    got = {(r.type, r.src, r.dst) for r in edges.collect()}
+    assert {x for x in got if x[0] in ("links_to", "in_series", "knn")} == {("links_to", "a:1", "a:2"), ("links_to", "a:3", "a:1"), ("in_series", "a:1", "series:s"), ("in_series", "a:3", "series:s"), ("knn", "a:1", "a:2")}
+    assert {r.type for r in nodes.collect()} == {"article", "tag", "category", "series"}
+    titled = spark.createDataFrame([(1, "세금 인상 이야기", "물가와 환율 그리고 통화 정책", ["자유"])], "row_id long, title string, content string, tags array<string>")
+    held = spark.createDataFrame([(1, "자유"), (2, "세금 인상 이야기")], "id long, text string")
+    items, counts = distill.training_set(titled, [held, held.limit(1)], windows=4, pieces=2)
+    texts = {r.text for r in items.collect()}
+    assert "자유" not in texts and "세금 인상 이야기" not in texts and texts
+    assert {r.kind: r.kept for r in counts.collect()}["tag"] == 0
