@@ -66,8 +66,13 @@ def _count(batches):
         yield pa.RecordBatch.from_arrays([pa.array([last_term]), pa.array([occ], pa.int64()), pa.array([rec], pa.int64())], names=["term", "occurrences", "records"])
 
 
-def term_frequencies(df: DataFrame, record: str, arrays: list[str], rare_below: int = 2, common_above: float = 0.6, salts: int = 8) -> DataFrame:
-    """(term, occurrences, df, n_docs, mark): mark is rare, common or kept."""
+def term_frequencies(df: DataFrame, record: str, arrays: list[str], rare_below: int = 2, common_above: float = 0.6, salts: int | None = None) -> DataFrame:
+    """(term, occurrences, df, n_docs, mark): mark is rare, common or kept.
+
+    ``salts`` defaults to the session's number of shuffle partitions, so the
+    tokens of one term may spread over all of them.
+    """
+    salts = salts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     src = df.select(F.col(record).cast("string").alias("record"), F.concat(*(F.coalesce(F.col(a), F.array().cast("array<string>")) for a in arrays)).alias("terms"))
     clean = F.filter(F.transform(F.filter("terms", lambda x: x.isNotNull()), lambda x: F.lower(F.btrim(x, F.lit(BLANKS)))), lambda x: x != "")
     tokens = src.select("record", clean.alias("terms")).where(F.size("terms") > 0).mapInArrow(_combine, "term string, record string, n bigint")
