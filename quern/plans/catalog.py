@@ -16,7 +16,7 @@ from quern.functions import text as X
 from quern.operators import benchmark, distill, encoder, fusion, graph, index, keyword, lexicon, metrics, related
 from quern.plans import oracle
 from quern.sources import articles as A
-from quern.runtime import materialize
+from quern.runtime import materialize, scratch
 from quern.sources import assets
 from quern.streaming import changes
 
@@ -433,6 +433,74 @@ def slot_coverage(spark, d):
     return metrics.coverage(_queries(spark, d), encoder.slots(_queries(spark, d), _vocabulary(spark, d))).withColumn("covered", F.round("covered", 4))
 
 
+def json_scan(spark, d):
+    """The articles written as JSON records and scanned again with the record's schema."""
+    at = scratch(spark)
+    _articles(spark, d).select("id", "title", "content", "slug", "board", "category", "tags", "contributors", "created", "updated", "views", "thumbnail", "preview").write.json(at)
+    back = spark.read.schema(A.ARTICLE).json(at)
+    return back.select("id", "title", F.md5("content").alias("content"), F.col("board.slug").alias("board"), F.size(F.coalesce("tags", F.array().cast("array<string>"))).alias("tags"), F.col("contributors")[0]["name"].alias("first"), "views")
+
+
+def relational_export(spark, d):
+    """The articles taken apart into boards, categories, tags and people, and put together again; those without views stay unpublished."""
+    a = _articles(spark, d)
+    boards = a.where("board.slug IS NOT NULL").groupBy(F.col("board.slug").alias("id")).agg(F.min("board.name").alias("name")).withColumn("slug", F.col("id"))
+    categories = a.where("category IS NOT NULL").select(F.col("category").alias("id"), F.col("category").alias("name")).distinct()
+    tagged = a.select(F.col("id").alias("article_id"), F.explode(F.array_distinct("tags")).alias("tag_id")).where("tag_id IS NOT NULL")
+    who = a.select(F.col("id").alias("article_id"), F.posexplode("contributors").alias("sort_order", "c"))
+    person = F.concat_ws("/", F.col("c.slug"), F.col("c.name"))
+    people = who.select(person.alias("id"), F.col("c.name").alias("name"), F.col("c.slug").alias("slug")).distinct()
+    rows = a.select("id", F.when(F.col("views").isNotNull(), "published").otherwise("draft").alias("status"), F.col("board.slug").alias("board_id"), F.col("category").alias("category_id"), "title", "content")
+    out = A.relational_export(rows, boards, categories, tagged.select(F.col("tag_id").alias("id"), F.col("tag_id").alias("name")).distinct(), tagged, people, who.select("article_id", person.alias("person_id"), "sort_order", F.col("c.role").alias("role")))
+    return out.select("id", F.col("board.slug").alias("board"), "category", F.array_join("tags", "|").alias("tags"), F.array_join(F.transform("contributors", lambda c: F.coalesce(c["name"], F.lit("-"))), "|").alias("people"))
+
+
+def vocabulary_order(spark, d):
+    return _vocabulary(spark, d).select("term", "place", F.round("idf", 6).alias("idf"))
+
+
+def vocabulary_digest(spark, d):
+    return changes.list_digest(_vocabulary(spark, d), "term", "place")
+
+
+def lexicon_affinity(spark, d):
+    """How near each vocabulary term comes to any article, by the mean of the vectors of the articles that hold it."""
+    v = materialize(_vocabulary(spark, d))
+    words = _term_vectors(spark, d, v).where("vector IS NOT NULL").join(v.select("term", "place"), "place").select(F.col("term").alias("word"), "vector")
+    return lexicon.affinity(words, _doc_vectors(spark, d)).withColumn("affinity", F.round("affinity", 4))
+
+
+def frequency_candidates(spark, d):
+    """Words of the contents with their numbers, as lines of a frequency list."""
+    w = _read(spark, d, "articles").select(F.explode(X.words(F.col("title"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return lexicon.frequency_candidates(w.select(F.concat_ws(" ", "word", F.col("n").cast("string")).alias("value")))
+
+
+def new_words(spark, d):
+    return lexicon.new_words(frequency_candidates(spark, d), _vocabulary(spark, d))
+
+
+def student_rows(spark, d):
+    """Rows of the index for the encoder's documents; those that the index lacks have -1."""
+    ids = _read(spark, d, "related").select("id").distinct()
+    return assets.student_rows(ids.select(F.col("id").alias("place"), "id"), _meta(spark, d))
+
+
+def split_metrics(spark, d):
+    """Retrieval quality of queries of even and odd number apart, as of new and old documents."""
+    return metrics.recall_mrr(_ranks(_embeddings(spark, d)).withColumn("fresh", F.col("query_id") % 100 == 0), ["fresh"]).select("fresh", "n", *(F.round(c, 4).alias(c) for c in ("r1", "r5", "r10", "r20", "mrr")))
+
+
+def bench_sample(spark, d):
+    return benchmark.sample(_articles(spark, d), "row_id", 300).select("row_id", "id")
+
+
+def training_counts(spark, d):
+    """Synthesised training queries of each kind, and those that no evaluation query equals or is like."""
+    held = _queries(spark, d).select(F.col("query_id").alias("id"), X.tidy(F.col("text")).alias("text"))
+    return distill.training_set(_articles(spark, d), [held])[1]
+
+
 def latest_rows(spark, d):
     w = Window.partitionBy("id").orderBy(F.col("ingested_at").desc(), F.col("row_id").desc())
     return _read(spark, d, "articles").select("id", "row_id", "ingested_at").withColumn("_n", F.row_number().over(w)).where("_n = 1").select("id", "row_id")
@@ -442,7 +510,8 @@ NAMES = """literal_title_search keyword_search_substring keyword_search_terms se
 clean_markdown strip_html_body clean_titles title_keywords content_segments chunk_documents passages vocab_df_idf bigram_vocab student_tokens near_dup_jaccard quantize_int8
 dequantize_error cosine_topk knn_edges centroid_pool attribute_edges graph_nodes graph_build link_targets edge_merge degree graph_counts drawing_edges neighbours_by_type find_nodes beam_bfs
 related_articles fuse_rank mrr_recall bootstrap_ci top10_agreement gate_calibration floor_percentiles source_digest fnv_shard shard_packs lexicon_candidates hangul_jamo
-term_score_hangul strip_particles bench_variants bench_typos keyword_covered query_synthesis encoder_slots student_search search_semantic student_encode random_walks word2vec_graph layout eval_items slot_coverage latest_rows""".split()
+term_score_hangul strip_particles bench_variants bench_typos keyword_covered query_synthesis encoder_slots student_search search_semantic student_encode random_walks word2vec_graph layout eval_items slot_coverage json_scan relational_export vocabulary_order vocabulary_digest lexicon_affinity
+frequency_candidates new_words student_rows split_metrics bench_sample training_counts latest_rows""".split()
 
 
 def queries() -> dict:

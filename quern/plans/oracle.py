@@ -359,6 +359,24 @@ every AS (SELECT {tidy('text')} AS text, src, kind, k FROM (SELECT * FROM win UN
 good AS (SELECT *, list_position(['win', 'seg', 'title', 'tag'], kind) AS o FROM every WHERE length(text) BETWEEN 2 AND 60 AND regexp_matches(text, '[가-힣]'))
 SELECT text, src, kind FROM good QUALIFY row_number() OVER (PARTITION BY text ORDER BY o, src, k) = 1""",
     }
+    freq = f"(SELECT stem AS word, sum(n)::BIGINT AS freq FROM (SELECT {strip('word')} AS stem, n FROM (SELECT word, count(*) AS n FROM (SELECT unnest({words('title')}) AS word FROM articles) GROUP BY word)) WHERE regexp_matches(stem, '^[가-힣]{{2,}}$') GROUP BY stem HAVING sum(n) >= 2)"
+    known = f"WITH {_A}, {_T}, {_KNOWN}"
+    dup = f"""same AS (SELECT m.text AS t, h.text AS h, count(*) AS c FROM (SELECT text, unnest(list_distinct({words('text')})) AS w FROM made) m JOIN (SELECT text, unnest(list_distinct({words('text')})) AS w FROM held) h USING (w) GROUP BY 1, 2),
+leak AS (SELECT DISTINCT t FROM same WHERE c / (len(list_distinct({words('t')})) + len(list_distinct({words('h')})) - c) >= 0.6 UNION SELECT text FROM held)"""
+    out |= {
+        "json_scan": f"WITH {_A} SELECT id, title, md5(content) AS content, board.slug AS board, len(coalesce(tags, []))::INT AS tags, contributors[1].name AS first, views FROM a",
+        "relational_export": f"WITH {_A} SELECT id, board.slug AS board, category, CASE WHEN len(list_filter(tags, lambda x: x IS NOT NULL)) > 0 THEN array_to_string(list_sort(list_distinct(list_filter(tags, lambda x: x IS NOT NULL))), '|') END AS tags, CASE WHEN len(contributors) > 0 THEN array_to_string(list_transform(contributors, lambda c: coalesce(c.name, '-')), '|') END AS people FROM a WHERE views IS NOT NULL",
+        "vocabulary_order": f"{known} SELECT term, place, round(idf, 6) AS idf FROM known",
+        "vocabulary_digest": f"{known} SELECT sha1(string_agg(term, chr(10) ORDER BY place)) AS digest FROM known",
+        "lexicon_affinity": f"""{known}, {_DOCS}, tm AS (SELECT term, pos, avg(x) AS x FROM (SELECT term, unnest(u) AS x, generate_subscripts(u, 1) AS pos FROM vt JOIN du USING (row_id) JOIN known USING (term)) GROUP BY 1, 2), tv AS (SELECT term, list(x ORDER BY pos) AS v FROM tm GROUP BY term)
+SELECT term AS word, round(max(list_dot_product(list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))), u)), 4) AS affinity FROM tv, du GROUP BY term HAVING max(list_dot_product(list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))), u)) >= 0.37""",
+        "frequency_candidates": f"SELECT * FROM {freq}",
+        "new_words": f"{known} SELECT word FROM {freq} WHERE word NOT IN (SELECT term FROM known)",
+        "student_rows": f"WITH {_A} SELECT r.id AS place, coalesce(a.row_id, -1) AS row_id FROM (SELECT DISTINCT id FROM related) r LEFT JOIN a ON a.id = r.id",
+        "split_metrics": out["mrr_recall"].replace("SELECT count(*) AS n, round(100", "SELECT query % 100 = 0 AS fresh, count(*) AS n, round(100") + " GROUP BY 1",
+        "bench_sample": f"WITH {_A} SELECT row_id, id FROM a ORDER BY {_draw(str(1 << 48), 'row_id', '7')}, row_id LIMIT 300",
+        "training_counts": f"WITH made AS ({out['query_synthesis']}), {_QUERIES}, held AS (SELECT DISTINCT {tidy('text')} AS text FROM qs), {dup} SELECT kind, count(*) AS n, count(*) FILTER (text NOT IN (SELECT t FROM leak)) AS kept FROM made GROUP BY kind",
+    }
     return out | {
         "chunk_documents": f"SELECT k AS row_id, generate_subscripts(ch, 1) - 1 AS chunk_no, unnest(ch) AS chunk FROM {chunked('row_id', 'articles')}",
         "passages": f"WITH {_A} SELECT k AS id, generate_subscripts(ch, 1) - 1 AS chunk_no, 'passage: ' || title || chr(10) || unnest(ch) AS passage FROM {chunked('id', 'a')}",
