@@ -65,3 +65,28 @@ def search(queries: DataFrame, meta: DataFrame, terms: DataFrame, semantic=None,
         return words.select("query_id", "row_id", "score", F.lit("keyword").alias("source"), F.lit("keyword").alias("tier"), "rank")
     asked = queries if fixed is None else queries.join(fixed, "query_id", "left").select("query_id", F.coalesce("corrected", "text").alias("text"))
     return fuse(words, gate(semantic(asked)), queries, fixed, k)
+
+
+class Tickets:
+    """Numbers for searches in flight: an answer whose ticket is no longer the newest is stale and left out."""
+
+    def __init__(self) -> None:
+        self._newest = 0
+
+    def take(self) -> int:
+        self._newest += 1
+        return self._newest
+
+    def fresh(self, ticket: int) -> bool:
+        return ticket == self._newest
+
+
+def progressive(queries: DataFrame, meta: DataFrame, terms: DataFrame, semantic=None, tickets: Tickets | None = None, **how):
+    """Yields ("keyword", hits) first and ("fused", hits) when the semantic side is there; nothing more once a newer search has a ticket."""
+    tickets = tickets or Tickets()
+    own = tickets.take()
+    yield "keyword", search(queries, meta, terms, **how)
+    if semantic is not None and not how.get("exact_mode") and tickets.fresh(own):
+        fused = search(queries, meta, terms, semantic, **how)
+        if tickets.fresh(own):
+            yield "fused", fused

@@ -71,3 +71,29 @@ def propose_gate(probes: DataFrame, relevant: DataFrame) -> DataFrame:
     p = probes.agg(F.max("top").alias("p"))
     r = relevant.agg(F.min("top").alias("r"))
     return p.join(r, F.lit(True)).select(F.round(F.least(F.lit(0.3), F.coalesce(F.col("r") - 0.005, F.lit(0.3))), 3).alias("exact"), F.coalesce(F.round(F.col("p") + 0.01, 3), F.lit(0.635)).alias("fallback_only"))
+
+
+def calibrate(asked: DataFrame, hits: DataFrame, relevant: DataFrame, k: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(floors, report) of the gate from sets of queries.
+
+    ``asked`` has (set, query_id, must_fail), ``hits`` (query_id, row_id, score,
+    rank, exact_slots) and ``relevant`` (query_id, row_id).  The floor of queries
+    with a whole-word slot lies just below the least top score of those whose
+    answer is among the first ``k``, 0.3 at most; that of fallback-only queries just
+    above the best top score of a probe that must fail.  The report has, by set,
+    how many queries there are, without a slot, of either kind, passed, and lost
+    although the answer was among the first ``k``.
+    """
+    top = hits.groupBy("query_id").agg(F.max("score").alias("top"), F.max("exact_slots").alias("exact_slots"))
+    rank = hits.join(relevant.select("query_id", "row_id").distinct(), ["query_id", "row_id"], "left_semi").groupBy("query_id").agg(F.min("rank").alias("rank"))
+    rows = asked.join(top, "query_id", "left").join(rank, "query_id", "left")
+    whole, known = F.coalesce("exact_slots", F.lit(0)) > 0, F.col("top").isNotNull()
+    answered = known & (F.coalesce("rank", F.lit(k + 1)) <= k)
+    floors = rows.agg(
+        F.round(F.least(F.lit(0.3), F.min(F.when(answered & whole & ~F.col("must_fail"), F.col("top") - 0.005))), 3).alias("exact"),
+        F.coalesce(F.round(F.max(F.when(known & ~whole & F.col("must_fail"), F.col("top"))) + 0.01, 3), F.lit(0.635)).alias("fallback_only"),
+    )
+    passed = known & (F.col("top") >= F.when(whole, F.col("exact")).otherwise(F.col("fallback_only")))
+    n = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
+    report = rows.join(F.broadcast(floors), F.lit(True)).groupBy("set").agg(F.count("*").alias("n"), n(~known).alias("no_slot"), n(known & whole).alias("exact"), n(known & ~whole).alias("fallback_only"), n(passed).alias("passed"), n(answered & ~passed).alias("lost"))  # one row
+    return floors, report

@@ -271,6 +271,17 @@ def gate_calibration(spark, d):
     return metrics.propose_gate(top.where(F.col("query") % 100 == 0), top.where(F.col("query") % 100 != 0))
 
 
+def gate_sets(spark, d):
+    """The gate's calibration over titles, their first tags, and titles read backwards as gibberish, of every fiftieth article."""
+    a = _articles(spark, d).where("row_id % 50 = 0").select("row_id", "title", F.nullif(F.array_join(F.slice("tags", 1, 2), " "), F.lit("")).alias("tag"))
+    one = lambda k, name, text, fail: a.select((F.col("row_id") * 4 + k).alias("query_id"), "row_id", F.lit(name).alias("set"), text.alias("text"), F.lit(fail).alias("must_fail"))
+    asked = one(0, "title", F.col("title"), False).union(one(1, "tags", F.col("tag"), False)).union(one(2, "gibberish", F.reverse("title"), True)).where("text IS NOT NULL")
+    asked = materialize(asked)
+    hits = materialize(_semantic(spark, d)(asked.select("query_id", "text")).where("score > 0"))
+    floors, report = metrics.calibrate(asked, hits, asked.where("NOT must_fail"))
+    return report.join(F.broadcast(floors.toDF("exact_floor", "fallback_floor")), F.lit(True))  # one row
+
+
 def floor_percentiles(spark, d):
     return metrics.floor_percentiles(_read(spark, d, "articles"), "views", [0.05, 0.5, 0.95])
 
@@ -509,7 +520,7 @@ def latest_rows(spark, d):
 NAMES = """literal_title_search keyword_search_substring keyword_search_terms search_exact query_interpretations spelling_correction tag_counts tag_index tag_match doc_meta
 clean_markdown strip_html_body clean_titles title_keywords content_segments chunk_documents passages vocab_df_idf bigram_vocab student_tokens near_dup_jaccard quantize_int8
 dequantize_error cosine_topk knn_edges centroid_pool attribute_edges graph_nodes graph_build link_targets edge_merge degree graph_counts drawing_edges neighbours_by_type find_nodes beam_bfs
-related_articles fuse_rank mrr_recall bootstrap_ci top10_agreement gate_calibration floor_percentiles source_digest fnv_shard shard_packs lexicon_candidates hangul_jamo
+related_articles fuse_rank mrr_recall bootstrap_ci top10_agreement gate_calibration gate_sets floor_percentiles source_digest fnv_shard shard_packs lexicon_candidates hangul_jamo
 term_score_hangul strip_particles bench_variants bench_typos keyword_covered query_synthesis encoder_slots student_search search_semantic student_encode random_walks word2vec_graph layout eval_items slot_coverage json_scan relational_export vocabulary_order vocabulary_digest lexicon_affinity
 frequency_candidates new_words student_rows split_metrics bench_sample training_counts latest_rows""".split()
 

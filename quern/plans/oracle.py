@@ -359,6 +359,12 @@ every AS (SELECT {tidy('text')} AS text, src, kind, k FROM (SELECT * FROM win UN
 good AS (SELECT *, list_position(['win', 'seg', 'title', 'tag'], kind) AS o FROM every WHERE length(text) BETWEEN 2 AND 60 AND regexp_matches(text, '[가-힣]'))
 SELECT text, src, kind FROM good QUALIFY row_number() OVER (PARTITION BY text ORDER BY o, src, k) = 1""",
     }
+    out["gate_sets"] = f"""WITH {_A}, {_T}, asked AS (SELECT row_id * 4 + k AS query_id, row_id, s AS set, text, k = 2 AS must_fail FROM (SELECT row_id, 0 AS k, 'title' AS s, title AS text FROM a WHERE row_id % 50 = 0 UNION ALL SELECT row_id, 1, 'tags', nullif(array_to_string(tags[1:2], ' '), '') FROM a WHERE row_id % 50 = 0 UNION ALL SELECT row_id, 2, 'gibberish', reverse(title) FROM a WHERE row_id % 50 = 0) WHERE text IS NOT NULL),
+{_KNOWN}, {_slots('asked')}, {_DOCS}, {_STUDENT}, hits AS (SELECT * FROM sem0 WHERE score > 0),
+r AS (SELECT k.set, k.must_fail, h.top, coalesce(h.exact_slots, 0) > 0 AS whole, p.rank FROM asked k LEFT JOIN (SELECT query_id, max(score) AS top, max(exact_slots) AS exact_slots FROM hits GROUP BY 1) h USING (query_id) LEFT JOIN (SELECT query_id, min(rank) AS rank FROM hits JOIN asked USING (query_id, row_id) WHERE NOT must_fail GROUP BY 1) p USING (query_id)),
+f AS (SELECT round(least(0.3, min(top - 0.005) FILTER (rank <= 10 AND whole AND NOT must_fail)), 3) AS exact_floor, coalesce(round(max(top) FILTER (NOT whole AND must_fail) + 0.01, 3), 0.635) AS fallback_floor FROM r),
+g AS (SELECT r.*, f.*, coalesce(top >= CASE WHEN whole THEN exact_floor ELSE fallback_floor END, false) AS passed FROM r, f)
+SELECT set, count(*) AS n, count(*) FILTER (top IS NULL) AS no_slot, count(*) FILTER (top IS NOT NULL AND whole) AS exact, count(*) FILTER (top IS NOT NULL AND NOT whole) AS fallback_only, count(*) FILTER (passed) AS passed, count(*) FILTER (rank <= 10 AND NOT passed) AS lost, any_value(exact_floor) AS exact_floor, any_value(fallback_floor) AS fallback_floor FROM g GROUP BY set"""
     freq = f"(SELECT stem AS word, sum(n)::BIGINT AS freq FROM (SELECT {strip('word')} AS stem, n FROM (SELECT word, count(*) AS n FROM (SELECT unnest({words('title')}) AS word FROM articles) GROUP BY word)) WHERE regexp_matches(stem, '^[가-힣]{{2,}}$') GROUP BY stem HAVING sum(n) >= 2)"
     known = f"WITH {_A}, {_T}, {_KNOWN}"
     dup = f"""same AS (SELECT m.text AS t, h.text AS h, count(*) AS c FROM (SELECT text, unnest(list_distinct({words('text')})) AS w FROM made) m JOIN (SELECT text, unnest(list_distinct({words('text')})) AS w FROM held) h USING (w) GROUP BY 1, 2),

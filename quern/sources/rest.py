@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import time
+import urllib.error
 import urllib.parse
 import urllib.request
 from collections.abc import Iterator
@@ -38,8 +40,15 @@ class PagedReader(DataSourceReader):
         own = {k: v for k, v in self.options.items() if k in ("filter", "sort", "expand", "fields")}
         size = self.options.get("perpage") or self.options.get("perPage") or 200
         query = urllib.parse.urlencode(own | {"page": page, "perPage": size})
-        with urllib.request.urlopen(f"{self.options['url']}?{query}", timeout=120) as r:
-            return json.load(r)
+        for wait in (1, 4, None):  # a page that fails is asked for again before the task is
+            try:
+                with urllib.request.urlopen(f"{self.options['url']}?{query}", timeout=120) as r:
+                    return json.load(r)
+            except (urllib.error.URLError, TimeoutError, ConnectionError) as e:
+                if wait is None or isinstance(e, urllib.error.HTTPError) and e.code < 500:
+                    raise
+                time.sleep(wait)
+        raise AssertionError("unreachable")
 
     def partitions(self) -> list[Page]:
         return [Page(n) for n in range(1, int(self._get(1).get("totalPages", 1)) + 1)]

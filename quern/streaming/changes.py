@@ -42,6 +42,24 @@ def changed(df: DataFrame, fields: list[str], marker: str) -> bool:
     return True
 
 
+def stamp(spark: SparkSession, path: str) -> str:
+    """A cheap sign of a source file or folder: how many files, their bytes and the last change, without reading any."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(at, True)
+    n = size = last = 0
+    while files.hasNext():
+        f = files.next()
+        n, size, last = n + 1, size + f.getLen(), max(last, f.getModificationTime())
+    return f"{n}-{size}-{last}"
+
+
+def poll(spark: SparkSession, path: str, seen: str | None) -> tuple[str, bool]:
+    """(sign, whether it differs from the one seen last); only then is a digest worth its scan."""
+    now = stamp(spark, path)
+    return now, now != seen
+
+
 def new_articles(spark: SparkSession, path: str, at_once: int = 1000) -> DataFrame:
     """The stream of article files that arrive in a folder."""
     return spark.readStream.schema(ARTICLE).option("multiLine", True).option("maxFilesPerTrigger", at_once).json(path)

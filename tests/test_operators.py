@@ -651,3 +651,35 @@ def test_whole_graph_and_training_set(spark):
     texts = {r.text for r in items.collect()}
     assert "자유" not in texts and "세금 인상 이야기" not in texts and texts
     assert {r.kind: r.kept for r in counts.collect()}["tag"] == 0
+
+
+def test_progressive_results_and_stale_answers(spark):
+    a = spark.createDataFrame([(1, "세금 인상", []), (2, "환율 이야기", [])], "row_id long, title string, tags array<string>").selectExpr("*", "cast(row_id as string) as id", "array(named_struct('name', 'n', 'role', 'author')) as authors")
+    terms = A.term_lists(a)
+    q = spark.createDataFrame([(1, "세금")], "query_id long, text string")
+    semantic = lambda asked: asked.select("query_id", F.lit(2).cast("long").alias("row_id"), F.lit(0.9).alias("score"), F.lit(1).alias("rank"), F.lit(1).cast("long").alias("exact_slots"))
+    got = list(fusion.progressive(q, a, terms, semantic))
+    assert [k for k, _ in got] == ["keyword", "fused"] and {r.row_id for r in got[1][1].collect()} == {1, 2}
+    tickets = fusion.Tickets()
+    run = fusion.progressive(q, a, terms, semantic, tickets)
+    assert next(run)[0] == "keyword"
+    tickets.take()  # a newer search
+    assert next(run, None) is None
+
+
+def test_poll_reads_no_file(spark, tmp_path):
+    from quern.streaming import changes
+
+    (tmp_path / "a.json").write_text("{}")
+    sign, new = changes.poll(spark, str(tmp_path), None)
+    assert new and changes.poll(spark, str(tmp_path), sign) == (sign, False)
+    (tmp_path / "b.json").write_text("{}")
+    assert changes.poll(spark, str(tmp_path), sign)[1]
+
+
+def test_calibration_by_sets(spark):
+    asked = spark.createDataFrame([("title", 1, False), ("title", 2, False), ("bad", 3, True), ("bad", 4, True), ("bad", 5, True)], "set string, query_id long, must_fail boolean")
+    hits = spark.createDataFrame([(1, 10, 0.25, 1, 2), (2, 11, 0.9, 1, 1), (2, 12, 0.8, 2, 1), (3, 10, 0.5, 1, 0), (4, 10, 0.2, 1, 1)], "query_id long, row_id long, score double, rank int, exact_slots long")
+    floors, report = metrics.calibrate(asked, hits, spark.createDataFrame([(1, 10), (2, 12)], "query_id long, row_id long"))
+    assert tuple(floors.first()) == (0.245, 0.51)
+    assert {tuple(r) for r in report.collect()} == {("title", 2, 0, 2, 0, 2, 0), ("bad", 3, 1, 1, 1, 0, 0)}
