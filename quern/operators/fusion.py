@@ -67,6 +67,13 @@ def search(queries: DataFrame, meta: DataFrame, terms: DataFrame, semantic=None,
     return fuse(words, gate(semantic(asked)), queries, fixed, k)
 
 
+def respond(queries: DataFrame, meta: DataFrame, terms: DataFrame, semantic=None, **how) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(hits, corrections, tags) of a set of queries: what a search page shows for each."""
+    hits = search(queries, meta, terms, semantic, **how)
+    fixed = keyword.correct(queries, meta, keyword.vocabulary(terms))
+    return hits, fixed, keyword.match_tags(queries, keyword.tag_counts(meta))
+
+
 class Tickets:
     """Numbers for searches in flight: an answer whose ticket is no longer the newest is stale and left out."""
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import lru_cache
 
 import numpy as np
@@ -101,6 +102,11 @@ def principal_axes(vectors: DataFrame, rank: int) -> tuple[np.ndarray, np.ndarra
     return mean, axes, values[order] / max(values.sum(), 1e-12)
 
 
+def basis_digest(mean: np.ndarray, axes: np.ndarray) -> str:
+    """SHA-1 of a basis in single precision: what an encoder names the space by that its vectors belong to."""
+    return hashlib.sha1(np.vstack([mean, axes.T]).astype("<f4").tobytes()).hexdigest()
+
+
 def layout(vectors: DataFrame, exact_rows: int = 500, perplexity: float = 25.0, rounds: int = 1500) -> DataFrame:
     """(id, x, y) for drawing: t-SNE begun from the first two axes, at every size over each node's nearest ones.
 

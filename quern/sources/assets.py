@@ -9,34 +9,57 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.sources.sinks import store
+
 EVAL = "array<struct<text:string,relevant:array<string>>>"
 
 
+def file_sizes(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """(address, bytes) of the files that a path or pattern names, from the store's listing."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = []
+    for f in files.globStatus(at) or []:
+        for x in files.listStatus(f.getPath()) if f.isDirectory() else [f]:
+            if not x.isDirectory():
+                out.append((x.getPath().toString(), x.getLen()))
+    return sorted(out)
+
+
+def read_bytes(path: str, first: int, n: int) -> bytes:
+    """A stretch of a file on a local disk or a shared store."""
+    files, at = store(path)
+    with files.open_input_file(at) as f:
+        return f.read_at(n, first)
+
+
 def _whole(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-def read_int8(spark: SparkSession, path: str, dim: int, scales: DataFrame | None = None) -> DataFrame:
+def read_int8(spark: SparkSession, path: str, dim: int, scales: DataFrame | None = None, rows: int = 65_536) -> DataFrame:
     """(path, row_no, vector): rows of ``dim`` int8 numbers of each file, times their ``scales`` (row_no, scale) if given.
 
+    A file is read in stretches of ``rows`` rows, each by whichever task gets it.
     A file whose length is no multiple of ``dim`` is an error.
     """
+    parts = []
+    for name, size in file_sizes(spark, path):
+        if size % dim:
+            raise ValueError(f"{name} has {size} bytes, no multiple of {dim}")
+        parts += [(name, a, min(rows, size // dim - a)) for a in range(0, size // dim, rows)]
+    plan = spark.createDataFrame(parts, "path string, first bigint, n bigint").repartition(max(1, min(len(parts), 10_000)))
 
     def run(batches):
         for b in batches:
-            for p, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if len(raw) % dim:
-                    raise ValueError(f"{p} has {len(raw)} bytes, no multiple of {dim}")
-                x = np.frombuffer(raw, np.int8)
-                for a in range(0, len(x) // dim, 65_536):
-                    part = x[a * dim : (a + 65_536) * dim]
-                    n = len(part) // dim
-                    yield pa.RecordBatch.from_arrays([pa.array([p] * n), pa.array(np.arange(a, a + n)), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * dim), pa.array(part))], names=["path", "row_no", "vector"])
-
-    rows = _whole(spark, path).mapInArrow(run, "path string, row_no bigint, vector array<tinyint>")
+            for p, first, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                part = np.frombuffer(read_bytes(p, first * dim, n * dim), np.int8)
+                yield pa.RecordBatch.from_arrays([pa.array([p] * n), pa.array(np.arange(first, first + n)), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * dim), pa.array(part))], names=["path", "row_no", "vector"])
+
+    out = plan.mapInArrow(run, "path string, row_no bigint, vector array<tinyint>")
     if scales is None:
-        return rows
-    return rows.join(scales, "row_no").select("path", "row_no", F.transform("vector", lambda q: (q * F.col("scale")).cast("float")).alias("vector"))
+        return out
+    return out.join(scales, "row_no").select("path", "row_no", F.transform("vector", lambda q: (q * F.col("scale")).cast("float")).alias("vector"))
 
 
 def read_npz(spark: SparkSession, path: str, ids: str = "ids", vectors: str = "vectors") -> DataFrame:

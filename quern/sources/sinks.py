@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quern.functions.vectors import quantize, scale_of
 
 
-def _store(path: str):
+def store(path: str):
     """(file system, path) of a local path or an address of a shared store."""
     from pyarrow import fs
 
@@ -19,14 +19,14 @@ def _store(path: str):
 
 
 def _put(path: str, raw: bytes) -> None:
-    files, at = _store(path)
+    files, at = store(path)
     files.create_dir(at.rpartition("/")[0], recursive=True)
     with files.open_output_stream(at) as f:
         f.write(raw)
 
 
 def _get(path: str) -> bytes:
-    files, at = _store(path)
+    files, at = store(path)
     with files.open_input_stream(at) as f:
         return f.read()
 

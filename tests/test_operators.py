@@ -683,3 +683,25 @@ def test_calibration_by_sets(spark):
     floors, report = metrics.calibrate(asked, hits, spark.createDataFrame([(1, 10), (2, 12)], "query_id long, row_id long"))
     assert tuple(floors.first()) == (0.245, 0.51)
     assert {tuple(r) for r in report.collect()} == {("title", 2, 0, 2, 0, 2, 0), ("bad", 3, 1, 1, 1, 0, 0)}
+
+
+def test_int8_files_in_stretches(spark, tmp_path):
+    from quern.sources import assets
+
+    x = np.random.default_rng(0).integers(-127, 128, (100, 6)).astype(np.int8)
+    (tmp_path / "m").mkdir()
+    x[:70].tofile(tmp_path / "m" / "a.bin")
+    x[70:].tofile(tmp_path / "m" / "b.bin")
+    got = {(r.path[-5:], r.row_no): list(r.vector) for r in assets.read_int8(spark, str(tmp_path / "m"), 6, rows=16).collect()}
+    assert got == {("a.bin" if i < 70 else "b.bin", i if i < 70 else i - 70): x[i].tolist() for i in range(100)}
+    with pytest.raises(ValueError):
+        assets.read_int8(spark, str(tmp_path / "m"), 7)
+
+
+def test_basis_digest_and_response(spark):
+    x, df = _e(spark)
+    mean, axes, _ = related.principal_axes(df, 3)
+    assert related.basis_digest(mean, axes) == related.basis_digest(mean.copy(), axes.copy()) != related.basis_digest(mean, axes[:, ::-1])
+    a = spark.createDataFrame([(1, "세금 인상", ["세금"])], "row_id long, title string, tags array<string>").selectExpr("*", "cast(row_id as string) as id", "array(named_struct('name', 'n', 'role', 'author')) as authors")
+    hits, fixed, tags = fusion.respond(spark.createDataFrame([(1, "쎄금")], "query_id long, text string"), a, A.term_lists(a))
+    assert hits.first().row_id == 1 and fixed.first().corrected == "세금" and tags.first().name == "세금"
