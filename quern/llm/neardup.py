@@ -251,7 +251,7 @@ def groups(src: DataFrame, width: int = 5, least: float = 0.8, bands: int = 20,
     one = table.join(others, "row_id", "left_anti")
     spread = one.select("row_id", F.explode("bands").alias("key"))
     bucket = spread.groupBy("key").agg(F.min("row_id").alias("rep"), F.count("*").alias("size")).where("size > 1")
-    members = materialize(spread.join(bucket, "key"))
+    members = materialize(spread.join(bucket.hint("shuffle_hash"), "key"))  # few keys have two rows: nothing need be sorted
     candidates = broadcast_below(members.select("row_id").distinct(), 2_000_000)
     sets = materialize(one.select("row_id", "n", "elements", "weights").join(candidates, "row_id", "left_semi"))
     first = materialize(verified(members.where("row_id != rep").select(F.col("rep").alias("a"), F.col("row_id").alias("b")).distinct(), sets, least, weighted))
