@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as X
 from quern.operators import keyword
+from quern.runtime import materialize
 
 # The floors of the relevance gate.
 GATE = {"exact": 0.3, "fallback_only": 0.635}
@@ -56,15 +57,15 @@ def fuse(words: DataFrame, semantic: DataFrame, queries: DataFrame, corrected: D
 
 def search(queries: DataFrame, meta: DataFrame, terms: DataFrame, semantic=None, exact_mode: bool = False, allow_correction: bool = True, k: int = 20) -> DataFrame:
     """The whole search of a set of queries; ``semantic`` maps queries (query_id, text) to (query_id, row_id, score, rank[, exact_slots])."""
-    words = keyword.keyword_search(queries, meta, terms, k)
+    words = materialize(keyword.keyword_search(queries, meta, terms, k))  # ``k`` rows a query, read several times
     if exact_mode:
         hits = words.where(F.col("score") >= keyword.LITERAL)
         return hits.select("query_id", "row_id", "score", F.lit("keyword").alias("source"), F.lit("keyword").alias("tier"), "rank")
-    fixed = keyword.correct(queries, meta, keyword.vocabulary(terms)) if allow_correction else None
     if semantic is None:
         return words.select("query_id", "row_id", "score", F.lit("keyword").alias("source"), F.lit("keyword").alias("tier"), "rank")
+    fixed = materialize(keyword.correct(queries, meta, keyword.vocabulary(terms))) if allow_correction else None
     asked = queries if fixed is None else queries.join(fixed, "query_id", "left").select("query_id", F.coalesce("corrected", "text").alias("text"))
-    return fuse(words, gate(semantic(asked)), queries, fixed, k)
+    return fuse(words, materialize(gate(semantic(asked))), queries, fixed, k)
 
 
 def respond(queries: DataFrame, meta: DataFrame, terms: DataFrame, semantic=None, **how) -> tuple[DataFrame, DataFrame, DataFrame]:
