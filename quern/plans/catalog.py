@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.functions import hangul, vectors
+from quern.functions import vectors
 from quern.functions import text as X
 from quern.operators import benchmark, distill, encoder, fusion, graph, index, keyword, lexicon, metrics, related
 from quern.plans import oracle
@@ -533,4 +533,4 @@ def oracle_sql() -> dict[str, str]:
     return oracle.sql()
 
 
-__all__ = ["hangul", "oracle_sql", "queries"]
+__all__ = ["oracle_sql", "queries"]
