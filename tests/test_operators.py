@@ -83,6 +83,44 @@ def test_beam_search_equals_a_loop(spark):
     assert len(top) == 6 and max(r["rank"] for r in top) == 3
 
 
+def _hub(spark, monkeypatch):
+    """80 nodes around one hub and two that nobody reaches, many with the same vector; the rows of each table that is written on the way."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(12, 4))
+    x = (x / np.linalg.norm(x, axis=1)[:, None])[rng.integers(0, 12, 83)]
+    v = spark.createDataFrame([(f"{i:02}", r.tolist()) for i, r in enumerate(x)], "id string, vector array<double>")
+    near = {"80": {f"{i:02}" for i in range(80)}} | {f"{i:02}": {"80", f"{(i * 7 + 1) % 80:02}"} for i in range(80)}
+    adj = spark.createDataFrame([(a, b, 1.0) for a, bs in near.items() for b in bs] + [("81", "81", 1.0), ("00", "lost", 1.0)], "src string, dst string, weight double")
+    want = {}
+    for src in near:
+        seen, front = {src}, [src]
+        for d in range(4):
+            new = {b for a in front for b in near[a]} - seen
+            seen |= new
+            want |= {(src, b): (d, round(float(x[int(src)] @ x[int(b)]) * 0.9**d, 4)) for b in new}
+            front = sorted(new, key=lambda b: (-round(float(x[int(src)] @ x[int(b)]) * 0.9**d, 6), b))[:3]
+    rows, plain = [], graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df: (w := plain(df), rows.append(w.count()))[0])
+    return v, adj, want, rows
+
+
+def test_best_of_a_beam_search_are_found_without_writing_all_pairs(spark, monkeypatch):
+    v, adj, want, rows = _hub(spark, monkeypatch)
+    by = {}
+    for (src, b), (_, score) in want.items():
+        by.setdefault(src, []).append((-score, b))
+    want = {(src, n + 1): b for src, bs in by.items() for n, (_, b) in enumerate(sorted(bs)[:5])}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 16)
+    try:
+        for more in ({}, {"held": 7}):
+            hits = graph.beam_search(v.select("id"), adj, v, beam=3, best=5, **more)
+            assert {(r.src, r["rank"]): r.id for r in related.related(hits, k=5).collect()} == want
+            assert hits.count() < 81 * 80 / 3
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert max(rows) < 81 * 80 / 10
+
+
 def test_registered_beam_search_walks_the_article_graph(spark, data):
     """The query against a loop over the same graph: beam of 128, nodes without a vector of their own at their neighbours' mean."""
     from quern.plans import catalog
