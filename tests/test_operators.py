@@ -121,6 +121,20 @@ def test_best_of_a_beam_search_are_found_without_writing_all_pairs(spark, monkey
     assert max(rows) < 81 * 80 / 10
 
 
+def test_all_pairs_of_a_beam_search_come_whole_and_are_not_written_on_the_way(spark, monkeypatch):
+    v, adj, want, rows = _hub(spark, monkeypatch)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 16)
+    try:
+        hits = graph.beam_search(v.select("id"), adj, v, beam=3)
+        got = [(r.src, r.id, r.level, round(r.score, 4)) for r in hits.collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(got) == sorted((src, b, d, score) for (src, b), (d, score) in want.items())
+    few = graph.beam_search(v.select("id"), adj, v, v.where("id < '05'"), beam=3).collect()
+    assert sorted((r.src, r.id) for r in few) == sorted(k for k in want if k[1] < "05")
+    assert max(rows) < len(got) / 10
+
+
 def test_registered_beam_search_walks_the_article_graph(spark, data):
     """The query against a loop over the same graph: beam of 128, nodes without a vector of their own at their neighbours' mean."""
     from quern.plans import catalog
