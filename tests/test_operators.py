@@ -135,6 +135,24 @@ def test_all_pairs_of_a_beam_search_come_whole_and_are_not_written_on_the_way(sp
     assert max(rows) < len(got) / 10
 
 
+def _received(plan) -> int:
+    """Bytes that a plan which has run got from Python."""
+    own = plan.metrics().get("pythonDataReceived")
+    below = [plan.executedPlan()] if plan.nodeName() == "AdaptiveSparkPlan" else [plan.children().apply(i) for i in range(plan.children().size())]
+    return (own.get().value() if own.isDefined() else 0) + sum(map(_received, below))
+
+
+def test_identifiers_of_all_pairs_of_a_beam_search_do_not_pass_python(spark, monkeypatch):
+    v, adj, want, _ = _hub(spark, monkeypatch)
+    long = lambda c: F.concat(F.lit("n" * 60), c).alias(c)
+    v, adj = v.select(long("id"), "vector"), adj.select(long("src"), long("dst"), "weight")
+    for more in ({}, {"held": 7}):
+        hits = graph.beam_search(v.select("id"), adj, v, beam=3, **more)
+        got = [(r.src[60:], r.id[60:], r.level, round(r.score, 4)) for r in hits.collect()]
+        assert sorted(got) == sorted((src, b, d, score) for (src, b), (d, score) in want.items())
+        assert len(got) < _received(hits._jdf.queryExecution().executedPlan()) < 60 * len(got)
+
+
 def test_registered_beam_search_walks_the_article_graph(spark, data):
     """The query against a loop over the same graph: beam of 128, nodes without a vector of their own at their neighbours' mean."""
     from quern.plans import catalog
