@@ -151,6 +151,9 @@ def test_identifiers_of_all_pairs_of_a_beam_search_do_not_pass_python(spark, mon
         got = [(r.src[60:], r.id[60:], r.level, round(r.score, 4)) for r in hits.collect()]
         assert sorted(got) == sorted((src, b, d, score) for (src, b), (d, score) in want.items())
         assert len(got) < _received(hits._jdf.queryExecution().executedPlan()) < 60 * len(got)
+    hits = graph.beam_search(v.select(F.lit(0).cast("long").alias("id")), adj.where("dst NOT LIKE '%lost'").select(*(F.substring(c, 61, 2).cast("long").alias(c) for c in ("src", "dst"))), v.select(F.substring("id", 61, 2).cast("long").alias("id"), "vector"), beam=3)
+    assert dict(hits.dtypes) == {"src": "bigint", "id": "bigint", "score": "double", "level": "int"}
+    assert sorted((r.src, r.id) for r in hits.collect()) == sorted((0, int(b)) for src, b in want if src == "00")
 
 
 def test_registered_beam_search_walks_the_article_graph(spark, data):
